@@ -9,11 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.components import connected_components
-from cadenza.plans.lineage import materialize
+from cadenza.plans.lineage import materialize, store
 
 
 @dataclass(frozen=True)
@@ -22,7 +22,7 @@ class NearCopies:
 
     ``block``: rows that one task compares with each other. ``common``: a shingle that begins more than so many
     documents' prefixes counts as common and goes last in the order; at most ``max_common`` are kept in memory for that.
-    Neither changes the result. ``send_ids``: up to so many candidate classes their keys (16 bytes each) are broadcast.
+    Neither changes the result. ``send_ids``: up to so many candidates their keys (8 bytes each) are broadcast.
     """
 
     k: int = 5
@@ -37,8 +37,17 @@ MULT = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
-    """How many of a set's first shingles must be looked at: any set that links with it holds one of them."""
-    return n - (n * percent + 99) // 100 + 1
+    """How many of a set's first shingles must be looked at.
+
+    Two linked sets share at least percent of the larger one. With n - (that) + m first shingles of each, whichever of
+    the two prefixes ends first holds m shared ones; m is half of what percent leaves, so few shared ones rule a set out.
+    """
+    return n - (n * percent + 99) // 100 + (n * ((100 - percent) // 2) + 99) // 100
+
+
+def least_shared(n: Column, percent: int) -> Column:
+    """How many shingles of its prefix a set shares with any set it links with: m of the smaller one it may be."""
+    return F.greatest(F.lit(1), F.ceil(n * ((100 - percent) // 2) * percent / 10_000 - 1e-9))
 
 
 def shingle_sets(texts: list[str | None], k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -176,19 +185,19 @@ def forest(linked: np.ndarray, left: list, right: list) -> list[tuple]:
     return out
 
 
-_LINKS = "a binary, b binary"
+_LINKS = "a bigint, b bigint"
 
 
 def _link_table(pairs: list[tuple]) -> pa.Table:
     a, b = zip(*pairs) if pairs else ((), ())
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _rows(table: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
     column = table["tokens"].combine_chunks()
     flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
     sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    return table["class"].to_pylist(), sets, np.array(list(map(len, sets)), np.int64)
+    return table["node"].to_pylist(), sets, np.array(list(map(len, sets)), np.int64)
 
 
 def _compare(left, right, percent: int, same: bool) -> list[tuple]:
@@ -209,27 +218,28 @@ def _compare(left, right, percent: int, same: bool) -> list[tuple]:
     return forest(good, [ids_a[i] for i in ia], [ids_b[i] for i in ib])
 
 
-def _links(members: DataFrame, config: NearCopies) -> DataFrame:
-    """Links between the classes of each group; ``members`` has leader, class, n, tokens, and lead (the row of the leader)."""
+def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> DataFrame:
+    """Links between the nodes of each group (leader, node); ``whole`` has each node's tokens."""
     percent, block = config.percent, config.block
-    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    known = members.join(sizes, "leader")
-    small = known.where(F.col("members") <= block).select("leader", "class", "tokens")
+    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
+    known = materialize(groups.join(sizes, "leader"))
+    small = known.where(F.col("members") <= block).select("leader", "node").join(whole, "node")
 
     def within(table: pa.Table) -> pa.Table:
         rows = _rows(table)
         return _link_table(_compare(rows, rows, percent, True))
 
     links = small.groupBy("leader").applyInArrow(within, _LINKS)
-    large = materialize(known.where(F.col("members") > block).drop("members"))
+    large = known.where(F.col("members") > block)
     if large.isEmpty():
         return links
+    large = store(large.select("leader", "node", (F.col("node") == F.col("leader")).alias("lead")).join(whole, "node"))
     # Large groups first shrink: chunk by chunk all members are compared with the leader. What links with it is one
     # component and needs no comparison within. Distances are a metric, so a member at distance d from the leader
     # can only link with linked members whose own distance is at least d less the link distance.
     parts = large.groupBy("leader").agg(F.count(F.lit(1)).alias("n_all")).withColumn("parts", F.ceil(F.col("n_all") / block).cast("int"))
-    lead = large.where("lead").join(parts, "leader").select("leader", "class", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
-    rest = large.where("not lead").join(parts, "leader").select("leader", "class", "tokens", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("lead"))
+    lead = large.where("lead").join(parts, "leader").select("leader", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
+    rest = large.where("not lead").join(parts, "leader").select("leader", "node", "tokens", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("lead"))
 
     def to_leader(table: pa.Table) -> pa.Table:
         ids, sets, n = _rows(table)
@@ -237,26 +247,26 @@ def _links(members: DataFrame, config: NearCopies) -> DataFrame:
         first = int(is_lead.argmax())
         inter = np.array([np.intersect1d(sets[first], s, assume_unique=True).size for s in sets], np.int64)
         union = n[first] + n - inter
-        return pa.table({"leader": table["leader"], "class": table["class"], "far": pa.array(1 - inter / union), "linked": pa.array(100 * inter >= percent * union)}).filter(pa.array(~is_lead))
+        return pa.table({"leader": table["leader"], "node": table["node"], "far": pa.array(1 - inter / union), "linked": pa.array(100 * inter >= percent * union)}).filter(pa.array(~is_lead))
 
-    near = materialize(lead.unionByName(rest).groupBy("leader", "part").applyInArrow(to_leader, "leader binary, class binary, far double, linked boolean"))
-    links = links.unionByName(near.where("linked").select(F.col("leader").alias("a"), F.col("class").alias("b")))
+    near = materialize(lead.unionByName(rest).groupBy("leader", "part").applyInArrow(to_leader, "leader bigint, node bigint, far double, linked boolean"))
+    links = links.unionByName(near.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
     reach = 1 - percent / 100 + 1e-9
     open_ = near.where("not linked")
     counts = open_.groupBy("leader").agg(F.count(F.lit(1)).alias("n_open"), F.min("far").alias("nearest"))
     open_parts = counts.withColumn("open_parts", F.ceil(F.col("n_open") / block).cast("int"))
     tagged = near.join(open_parts, "leader").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach))
-    tagged = tagged.withColumn("own", F.when(~F.col("linked"), F.pmod(F.xxhash64("class"), F.col("open_parts")).cast("int")).otherwise(F.lit(-1)))
+    tagged = tagged.withColumn("own", F.when(~F.col("linked"), F.pmod(F.xxhash64("node"), F.col("open_parts")).cast("int")).otherwise(F.lit(-1)))
     # Open members meet the open members of their own and later parts; linked members meet every open part.
-    others = tagged.withColumn("salt", F.when(F.col("linked"), F.pmod(F.xxhash64("class", F.lit(1)), F.lit(64)).cast("int")).otherwise(F.lit(-1)))
-    asked = tagged.where("own >= 0").select("leader", "class", "own", "open_parts")
+    others = tagged.withColumn("salt", F.when(F.col("linked"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64)).cast("int")).otherwise(F.lit(-1)))
+    asked = tagged.where("own >= 0").select("leader", "node", "own", "open_parts")
     against = others.groupBy("leader", "own", "salt").agg(F.count(F.lit(1)).alias("rows"))
     pairs = open_parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("open_parts") - 1)).alias("i")).join(against, "leader").where("own = -1 or own >= i")
     pairs = pairs.select("leader", "i", F.col("own").alias("j"), "salt")
-    tokens = large.select("leader", "class", "tokens")
-    one = pairs.join(asked.withColumnRenamed("own", "i"), ["leader", "i"]).select("leader", "i", "j", "salt", "class", F.lit(0).alias("side"))
-    two = pairs.join(others.withColumnRenamed("own", "j"), ["leader", "j", "salt"]).select("leader", "i", "j", "salt", "class", F.lit(1).alias("side"))
-    both = one.unionByName(two).join(tokens, ["leader", "class"])
+    tokens = large.select("leader", "node", "tokens")
+    one = pairs.join(asked.withColumnRenamed("own", "i"), ["leader", "i"]).select("leader", "i", "j", "salt", "node", F.lit(0).alias("side"))
+    two = pairs.join(others.withColumnRenamed("own", "j"), ["leader", "j", "salt"]).select("leader", "i", "j", "salt", "node", F.lit(1).alias("side"))
+    both = one.unionByName(two).join(tokens, ["leader", "node"])
 
     def across(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
@@ -277,49 +287,46 @@ def _links(members: DataFrame, config: NearCopies) -> DataFrame:
 def near_copy_components(docs: DataFrame, config: NearCopies = NearCopies()) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least doc_id that links reach.
 
-    1. Each text's set of shingles names its class, so copies are one class from here on. 2. Shingles are ordered, long
-    ones first, common ones last (those that begin many prefixes in a first pass); two sets can only link if their
-    prefixes in that order share a shingle. 3. A shingle's classes meet under one leader: the class whose prefix holds
-    the fewest shingles of its own. Classes with the same leader form a group, and a blocked sparse product counts the
-    overlaps within it; sizes and distances to the leader rule out the rest. Tasks return only as many links as
-    connect what they found. 4. Components of the links join classes; their least doc_ids name them.
+    1. Documents of one set of shingles are one node, named by the least doc_id. 2. Shingles are ordered, long ones
+    first, common ones last (those in many prefixes of a first pass); linked sets share shingles in their prefixes by
+    that order, and a bound tells how many, so most nodes drop out. 3. A shingle's nodes meet under one leader: the
+    node whose prefix holds the fewest shingles of its own. Nodes with the same leader form a group, and a blocked
+    sparse product counts the overlaps within it; sizes and distances to the leader rule out pairs. Tasks return only
+    as many links as connect what they found. 4. Components of the links, named by their least node.
 
     Documents without words link with nothing and keep their own doc_id; a null doc_id has a null component and takes
-    no part. Repeated rows link with each other. Other columns are ignored.
+    no part. Repeated rows, and rows that share a doc_id, are one node where their sets agree; a doc_id with several
+    sets stands for all of those that are not copies of a smaller doc_id. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
     first = _sets(rows.where("doc_id is not null"), config, None, False).select(F.explode("tokens").alias("token"))
     counts = first.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > config.common)
     common = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(config.max_common).select("token").collect()], np.int64))
-    sets = materialize(_sets(rows, config, common, False))
-    classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("tokens").alias("tokens"))
-    prefixes = classes.select("class", F.explode("tokens").alias("token"))
-    counted = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = materialize(prefixes.join(counted.select("token"), "token"))
-    # The fewest shingles of its own: the most shared ones, for its size.
-    held = shared.groupBy("class").agg(F.count(F.lit(1)).alias("held"))
-    standing = held.join(classes.select("class", "n", F.size("tokens").alias("p")), "class").select("class", "n", (F.col("p") - F.col("held")).alias("alone"))
-    placed = materialize(shared.join(standing, "class"))
-    leaders = placed.groupBy("token").agg(F.min(F.struct("alone", "n", "class")).alias("l")).select("token", F.col("l.class").alias("leader"), F.col("l.n").alias("leader_n"))
-    groups = placed.select("token", "class", "n").join(leaders, "token").select("leader", "class", "n", "leader_n").distinct()
+    sets = store(_sets(rows, config, common, False))
+    copies = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("owner"))
+    owned = store(sets.join(copies, "class", "left").select("doc_id", "n", "owner", F.when(F.col("doc_id") == F.col("owner"), F.col("tokens")).alias("tokens")))
+    nodes = owned.where("doc_id = owner").select(F.col("owner").alias("node"), "n", F.size("tokens").alias("p"))
+    placed = owned.where("doc_id = owner").select(F.col("owner").alias("node"), F.explode("tokens").alias("token"))
+    standing = placed
+    for _ in range(2):
+        # Shingles of one node only, and nodes that share too few, leave; that may free more.
+        shared = placed.join(placed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "token")
+        held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(nodes.dropDuplicates(["node"]), "node")
+        held = held.where(F.col("held") >= least_shared(F.col("n"), config.percent)).select("node", "n", (F.col("p") - F.col("held")).alias("alone"))
+        standing = materialize(shared.join(held, "node"))
+        placed = standing.select("node", "token")
+    leaders = standing.groupBy("token").agg(F.min(F.struct("alone", "n", "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
+    groups = standing.select("token", "node").join(leaders, "token").select("leader", "node").distinct()
     # A group of one has nothing to compare.
-    busy = groups.where("class <> leader").select("leader").distinct()
-    groups = materialize(groups.join(busy, "leader"))
-    wanted = materialize(groups.select("class").distinct())
-    owners = classes.select("class", "doc_id").join(wanted, "class").select("class", F.col("doc_id").alias("owner"))
-    n_wanted = wanted.count()
-    side = F.broadcast(owners) if n_wanted <= config.send_ids else owners
-    texts = rows.join(side, F.col("doc_id") == F.col("owner")).select("doc_id", "text")
-    whole = materialize(_sets(texts, config, None, True).select("class", "n", "tokens").dropDuplicates(["class"]))
-    members = materialize(groups.select("leader", "class", (F.col("class") == F.col("leader")).alias("lead")).join(whole.select("class", "n", "tokens"), "class"))
-    roots = connected_components(_links(members, config))
-    named = roots.withColumnRenamed("node", "class").join(classes.select("class", F.col("doc_id").alias("least")), "class")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    linked = named.join(least, "root").select("class", "component")
-    alone = classes.select("class", "doc_id").join(linked, "class", "left").select("class", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sets.select("doc_id", "class", F.col("n").alias("n_shingles")).join(alone, "class", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    groups = materialize(groups.join(groups.where("node <> leader").select("leader").distinct(), "leader"))
+    wanted = materialize(groups.select("node").distinct())
+    side = F.broadcast(wanted) if wanted.count() <= config.send_ids else wanted
+    texts = rows.join(side, F.col("doc_id") == F.col("node")).select("doc_id", "text")
+    whole = store(_sets(texts, config, None, True).select(F.col("doc_id").alias("node"), "tokens").dropDuplicates(["node"]))
+    links = _links(groups, whole, config)
+    roots = connected_components(links).select(F.col("node").alias("owner"), "root")
+    out = owned.select("doc_id", F.col("n").alias("n_shingles"), "owner").join(roots, "owner", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "owner", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
