@@ -1,4 +1,6 @@
 """All queries of the library and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from cadenza.plans import ride_queries  # noqa: F401  registers its queries
+from cadenza.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

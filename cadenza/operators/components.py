@@ -32,9 +32,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star passes: logarithmically many rounds even on long chains, each with
     aggregates that combine before the shuffle. Self-loops give a component of one; edges with a null are left out.
     """
-    clean = edges.select("a", "b").where("a is not null and b is not null")
-    loops = clean.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
-    pairs = materialize(clean.where("a <> b").distinct())
+    clean = materialize(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    loops = clean.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    pairs = clean.where("a <> b")
     before = None
     for _ in range(max_rounds):
         pairs = materialize(_star(_star(pairs, True), False))
