@@ -12,7 +12,7 @@ WORD_GAP = r"[ \t\n\x0B\f\r]+"
 #: Up to so many sources the plan (a few numbers a source) is a literal table, which Spark sends to all; above, it is joined by shuffle.
 MAX_LITERAL_SOURCES = 5_000
 #: Rows that one key range of a source should hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 MAX_REPEATS = 3
 
 
