@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +44,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sealed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` reduced to ``columns``, such that filters on them stay above the steps that make them.
+
+    A filter on a computed column is otherwise pushed below its computation and computes it anew at each mention. The
+    columns pass through a generator of one row, which the optimiser does not look into.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
