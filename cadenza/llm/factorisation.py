@@ -96,6 +96,7 @@ class FactorisationMachine:
         w, v = np.zeros(size, np.float32), (rng.standard_normal((size, model.rank)) * 0.01).astype(np.float32)
         fm = FactorisationMachine(float(np.log(share / (1 - share))), w, v)
         if len(set(labels.tolist())) < 2:
+            v[:] = 0
             return fm
         gw, gv = np.full(size, 1e-6, np.float32), np.full((size, model.rank), 1e-6, np.float32)
         gb = 1e-6

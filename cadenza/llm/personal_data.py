@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.plans.lineage import sealed
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -145,7 +147,7 @@ def personal_data(docs: DataFrame, config: PersonalData = PersonalData()) -> Dat
     Null and empty texts have no spans; repeated rows give repeated rows; the base kinds count whatever their score.
     """
     base = ("email", "ip", "card", "phone")
-    found = find_spans(docs.select("doc_id", "text"), config)
+    found = sealed(find_spans(docs.select("doc_id", "text"), config), "doc_id", "spans")
     own = F.filter("spans", lambda x: x["kind"].isin(*base))
     return found.select(
         "doc_id",

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.plans.lineage import sealed
+
 # White space of a word boundary, and the characters that count as symbols.
 SPACE = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
@@ -160,15 +162,10 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     fail; repeated rows are judged one by one; other columns of the input are ignored. Every step works within
     its row, so no key can be hot.
     """
-    return _judge(docs.select("doc_id", "text"), rules).select("doc_id", *RESULT)
+    return sealed(_judge(docs.select("doc_id", "text"), rules), "doc_id", *RESULT)
 
 
 def kept_rows(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns as they are, whatever their names.
-
-    The verdict unfolds each row into itself or nothing: as a filter, it would be pushed below the steps that make it
-    and be computed anew from the text at each mention.
-    """
+    """The rows of ``docs`` that are kept, with all their columns as they are, whatever their names."""
     inside = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    judged = _judge(inside, rules).select("row", "kept")
-    return judged.select(F.inline(F.filter(F.array("row"), lambda x: F.col("kept"))))
+    return sealed(_judge(inside, rules), "row", "kept").where("kept").select("row.*")
