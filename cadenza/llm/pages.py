@@ -51,10 +51,10 @@ def parse(page: str) -> list[Node]:
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends: its text is no text
-            break
         at = m.end()
         close, tag, attrs, text = m.groups()
+        if text == "<" and page[at : at + 1].strip("/").isalpha():  # a tag that never ends: nothing of it is text
+            break
         if text is not None:
             if run < 0:
                 if text.isspace():
