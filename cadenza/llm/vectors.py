@@ -23,7 +23,7 @@ class VectorIndex:
     fit_rows: int = 10_000
     max_lists: int = 1024
     list_rows: int = 400
-    probe_share: float = 0.5
+    probe_share: float = 0.6
     min_probes: int = 32
     chunk_rows: int = 4096
     epsilon: float = 2.5

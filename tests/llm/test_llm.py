@@ -263,7 +263,7 @@ def test_vector_search_recall_and_scores(spark):
     same = [float(v) for v in rng.standard_normal(64)]
     odd = [(100_000, None), (100_100, [0.0] * 64), (100_200, [float("nan")] * 64), (100_300, [None] + [1.0] * 63), (100_400, [1.0, 2.0])] + [(200_000 + i, same) for i in range(30)]
     full = table.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
-    config = vectors.VectorIndex(chunk_rows=64, list_rows=25, min_probes=10)
+    config = vectors.VectorIndex(chunk_rows=64, list_rows=12)
     got = collections.defaultdict(list)
     for r in vectors.nearest_neighbours(full, 100, config).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
