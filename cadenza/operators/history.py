@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from cadenza.functions import geo
 
-RIDER = Window.partitionBy("rider_id")
-
 
 def records(sessions: DataFrame) -> DataFrame:
     """(record, session_id, value): longest distance, biggest climb and longest duration; ties go to the smallest id."""
@@ -69,7 +67,7 @@ def _median(x: str, w, least: int = 2) -> Column:
 
 def previous_comparison(sessions: DataFrame, last: int = 5) -> DataFrame:
     """Medians over a rider's ``last`` earlier rides, and over all earlier ones; null below two values. Ties go by id."""
-    order = RIDER.orderBy("session_start", "session_id")
+    order = Window.partitionBy("rider_id").orderBy("session_start", "session_id")
     recent, every = order.rowsBetween(-last, -1), order.rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.count("session_id").over(recent).alias("n_recent"), F.count("session_id").over(every).alias("n_all")]
     for name, x in (("distance", "distance_km"), ("duration", "net_duration_sec"), ("power", "average_power"), ("climb", "elevation_gain_m")):

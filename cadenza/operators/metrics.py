@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from cadenza.functions import geo
 
-BY = Window.partitionBy("session_id")
-ORDER = BY.orderBy("idx")
 # Bins by lower bound; zones are ratios to the threshold power or the maximal heart rate.
 SPEED_BINS = (("0-10 km/h", 0.0), ("10-20 km/h", 10.0), ("20-30 km/h", 20.0), ("30-40 km/h", 30.0), (">40 km/h", 40.0))
 POWER_ZONES = (("Zone 1", 0.0), ("Zone 2", 0.55), ("Zone 3", 0.70), ("Zone 4", 0.92), ("Zone 5", 1.05), ("Zone 6", 1.25))
@@ -19,6 +17,14 @@ SPRINT_BINS = (("3-5 s", 3.0), ("6-15 s", 6.0), ("16-30 s", 16.0))
 FAT_MAX_WATT = -geo.FAT[1] / (2 * geo.FAT[0])
 
 
+def _ride() -> WindowSpec:
+    return Window.partitionBy("session_id")
+
+
+def _order() -> WindowSpec:
+    return _ride().orderBy("idx")
+
+
 def _r(x: str, alias: str):
     return F.round(F.expr(x), 6).alias(alias)
 
@@ -36,7 +42,7 @@ def gps_quality_filter(points: DataFrame, max_speed: float = 110, max_power: int
 
 def heading_vectors(points: DataFrame) -> DataFrame:
     """Movement from the point before in local metres, and its heading; nulls below half a metre."""
-    df = points.select("session_id", "idx", "lat", "lon", F.lag("lat").over(ORDER).alias("a"), F.lag("lon").over(ORDER).alias("b"))
+    df = points.select("session_id", "idx", "lat", "lon", F.lag("lat").over(_order()).alias("a"), F.lag("lon").over(_order()).alias("b"))
     df = df.withColumn("dx", F.expr(f"(lon - b) * {geo.metres_per_degree_lon('lat')}")).withColumn("dy", F.expr("(lat - a) * 111320e0"))
     moved = F.expr("sqrt(dx * dx + dy * dy) >= 5e-1")
     return df.select("session_id", "idx", F.round(F.when(moved, F.col("dx")), 6).alias("dx"), F.round(F.when(moved, F.col("dy")), 6).alias("dy"), F.round(F.when(moved, F.expr(geo.positive_mod("degrees(atan2(dx, dy))", "360e0"))), 6).alias("heading"))
@@ -45,14 +51,14 @@ def heading_vectors(points: DataFrame) -> DataFrame:
 def interpolated_power(points: DataFrame) -> DataFrame:
     """Power with gaps filled: linear by index between known values, the nearest known one at either end."""
     known = F.when(F.col("power").isNotNull(), F.struct("idx", "power"))
-    down = BY.orderBy(F.desc("idx"))
-    df = points.withColumn("a", F.last(known, True).over(ORDER)).withColumn("b", F.last(known, True).over(down))
+    down = _ride().orderBy(F.desc("idx"))
+    df = points.withColumn("a", F.last(known, True).over(_order())).withColumn("b", F.last(known, True).over(down))
     mid = "cast(a.power + (b.power - a.power) * (cast(idx - a.idx as double) / (b.idx - a.idx)) as int)"
     return df.select("session_id", "idx", F.expr(f"coalesce(power, case when a is null then b.power when b is null then a.power else {mid} end)").cast("int").alias("power"))
 
 
 def ride_distance(points: DataFrame) -> DataFrame:
-    df = points.withColumn("a", F.lag("lat").over(ORDER)).withColumn("b", F.lag("lon").over(ORDER))
+    df = points.withColumn("a", F.lag("lat").over(_order())).withColumn("b", F.lag("lon").over(_order()))
     return df.groupBy("session_id").agg(F.round(F.coalesce(F.sum(F.expr(geo.haversine("a", "b", "lat", "lon"))), F.lit(0.0)) / 1000, 6).alias("distance_km"), F.count(F.lit(1)).alias("n_points"))
 
 
@@ -113,14 +119,14 @@ def average_hr(points: DataFrame, coverage: float = 0.1) -> DataFrame:
 
 def normalized_power(points: DataFrame) -> DataFrame:
     """Fourth root of the mean fourth power of 30-sample means; the plain mean for short rides."""
-    df = points.withColumn("p", F.coalesce(F.col("power"), F.lit(0)).cast("double")).withColumn("r", F.avg("p").over(ORDER.rowsBetween(-29, 0)))
+    df = points.withColumn("p", F.coalesce(F.col("power"), F.lit(0)).cast("double")).withColumn("r", F.avg("p").over(_order().rowsBetween(-29, 0)))
     return df.groupBy("session_id").agg(F.round(F.expr("case when count(1) > 29 then pow(avg(case when idx >= 29 then pow(r, 4e0) end), 25e-2) else avg(p) end"), 6).alias("normalized_power"))
 
 
 def effective_power(points: DataFrame, back: int = 20) -> DataFrame:
     """Power with each zero replaced by the median of the last ``back`` positive values before it (0 without any)."""
     df = points.withColumn("p", F.when(F.col("power") > 0, F.col("power")).otherwise(0))
-    df = df.withColumn("k", F.sum(F.expr("cast(p > 0 as int)")).over(ORDER))
+    df = df.withColumn("k", F.sum(F.expr("cast(p > 0 as int)")).over(_order()))
     known = df.where("p > 0").withColumn("m", F.expr(f"percentile(p, 0.5) over (partition by session_id order by k rows between {back - 1} preceding and current row)"))
     known = known.select(F.col("session_id").alias("s"), F.col("k").alias("j"), "m")
     out = df.join(known, (F.col("session_id") == F.col("s")) & (F.col("k") == F.col("j")), "left")
@@ -184,14 +190,14 @@ def quality_percent(points: DataFrame, kept: DataFrame) -> DataFrame:
 
 def rolling_power(points: DataFrame, window: int = 15) -> DataFrame:
     """Trailing mean of ``window`` samples; 0 before the window is full."""
-    mean = F.avg(F.coalesce("power", F.lit(0)).cast("double")).over(ORDER.rowsBetween(1 - window, 0))
+    mean = F.avg(F.coalesce("power", F.lit(0)).cast("double")).over(_order().rowsBetween(1 - window, 0))
     return points.select("session_id", "idx", F.round(F.when(F.col("idx") < window - 1, 0.0).otherwise(mean), 6).alias("rolling"))
 
 
 def _islands(rows: DataFrame, gap: int) -> DataFrame:
     """Numbers runs of idx whose steps are at most ``gap``."""
-    new = (F.col("idx") - F.lag("idx").over(ORDER) > gap) | F.lag("idx").over(ORDER).isNull()
-    return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(ORDER))
+    new = (F.col("idx") - F.lag("idx").over(_order()) > gap) | F.lag("idx").over(_order()).isNull()
+    return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(_order()))
 
 
 def intervals(points: DataFrame, ftp: float = 150, window: int = 15, rest: int = 15, least: int = 20) -> DataFrame:
@@ -203,7 +209,7 @@ def intervals(points: DataFrame, ftp: float = 150, window: int = 15, rest: int =
     spans = _islands(hot, rest + 1).groupBy("session_id", "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("last"))
     ends = points.groupBy("session_id").agg(F.max("idx").alias("top"))
     spans = spans.join(ends, "session_id").select("session_id", "island", "start_idx", F.least(F.col("last") + window - 1, F.col("top")).alias("end_idx"))
-    running = points.select("session_id", "idx", F.sum(F.coalesce("power", F.lit(0)).cast("long")).over(ORDER).alias("work"), F.coalesce("power", F.lit(0)).cast("long").alias("p"))
+    running = points.select("session_id", "idx", F.sum(F.coalesce("power", F.lit(0)).cast("long")).over(_order()).alias("work"), F.coalesce("power", F.lit(0)).cast("long").alias("p"))
     a = running.select("session_id", F.col("idx").alias("start_idx"), (F.col("work") - F.col("p")).alias("w0"))
     b = running.select("session_id", F.col("idx").alias("end_idx"), F.col("work").alias("w1"))
     out = spans.join(a, ["session_id", "start_idx"]).join(b, ["session_id", "end_idx"]).withColumn("n", F.col("end_idx") - F.col("start_idx") + 1)
@@ -226,11 +232,11 @@ def sprint_histogram(points: DataFrame) -> DataFrame:
 def cumulative(points: DataFrame) -> DataFrame:
     """Running distance in metres (c), seconds (e) and energy in joules (w, power held until the next point), with the row before."""
     d = F.expr(geo.haversine("a", "b", "lat", "lon"))
-    df = points.withColumn("a", F.lag("lat").over(ORDER)).withColumn("b", F.lag("lon").over(ORDER))
+    df = points.withColumn("a", F.lag("lat").over(_order())).withColumn("b", F.lag("lon").over(_order()))
     df = df.withColumn("step", F.coalesce(d, F.lit(0.0))).withColumn("e", F.col("elapsed_sec"))
-    df = df.withColumn("joule", F.coalesce(F.lag(F.coalesce("power", F.lit(0)).cast("double")).over(ORDER) * (F.col("e") - F.lag("e").over(ORDER)), F.lit(0.0)))
-    df = df.withColumn("c", F.sum("step").over(ORDER)).withColumn("w", F.sum("joule").over(ORDER))
-    return df.select("session_id", "idx", "c", "e", "w", F.lag("c").over(ORDER).alias("pc"), F.lag("e").over(ORDER).alias("pe"), F.lag("w").over(ORDER).alias("pw"))
+    df = df.withColumn("joule", F.coalesce(F.lag(F.coalesce("power", F.lit(0)).cast("double")).over(_order()) * (F.col("e") - F.lag("e").over(_order())), F.lit(0.0)))
+    df = df.withColumn("c", F.sum("step").over(_order())).withColumn("w", F.sum("joule").over(_order()))
+    return df.select("session_id", "idx", "c", "e", "w", F.lag("c").over(_order()).alias("pc"), F.lag("e").over(_order()).alias("pe"), F.lag("w").over(_order()).alias("pw"))
 
 
 def best_split(points: DataFrame, metres: float) -> DataFrame:
