@@ -1,3 +1,20 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Sources reach their caps in the order of cap by weight; the level is that of the first source which keeps below its cap.
+MIX = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':1') AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+r AS (SELECT *, source_size * 3 / CAST(w AS DOUBLE) AS ratio,
+  coalesce(sum(source_size * 3) OVER o, 0) AS filled, coalesce(sum(w) OVER o, 0) AS gone, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w
+  FROM s WINDOW o AS (ORDER BY source_size * 3 / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((total - filled) / CAST(all_w - gone AS DOUBLE), ratio) FILTER (ratio >= (total - filled) / CAST(all_w - gone AS DOUBLE)) AS level FROM r),
+t AS (SELECT source, source_size, least(CAST(source_size * 3 AS DOUBLE), (SELECT level FROM l) * w) AS target FROM r),
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size > 0 THEN budget // source_size * size + least(size, greatest(0, budget - budget // source_size * source_size - before)) ELSE 0 END AS BIGINT) AS taken FROM b
+"""
+
+ORACLES: dict[str, str] = {"op5_source_mix": MIX}
