@@ -162,3 +162,45 @@ def decode_polylines(lines: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "seq", "lat", "lon"])
 
     return lines.select("id", "encoded").mapInPandas(run, "id bigint, seq int, lat double, lon double")
+
+
+def surrogates(unknown: DataFrame, known: DataFrame, radius_m: float, angle: float, top_lat: float = 60.0) -> DataFrame:
+    """(edge, surrogate, distance_m): for roads (edge, lat, lon, bearing) the nearest known road within the radius that runs alike.
+
+    Known roads (edge, alat, alon, blat, blon, bearing) lie in all cells that their box, widened by the radius, meets.
+    """
+    size = max(radius_m, 2000.0)
+    lat_size, lon_size = size / 111000.0, size / (111320.0 * math.cos(math.radians(top_lat)))
+    pad_lat, pad_lon = radius_m / 111000.0, radius_m / (111320.0 * math.cos(math.radians(top_lat)))
+
+    def cells(a: str, b: str, pad: float, step: float) -> str:
+        return f"sequence(cast(floor((least({a}, {b}) - {geo.number(pad)}) / {geo.number(step)}) as bigint), cast(floor((greatest({a}, {b}) + {geo.number(pad)}) / {geo.number(step)}) as bigint))"
+
+    roads = known.select(F.col("edge").alias("surrogate"), "alat", "alon", "blat", "blon", F.col("bearing").alias("other"))
+    roads = roads.withColumn("cy", F.explode(F.expr(cells("alat", "blat", pad_lat, lat_size)))).withColumn("cx", F.explode(F.expr(cells("alon", "blon", pad_lon, lon_size))))
+    asked = unknown.withColumn("cy", F.expr(f"cast(floor(lat / {geo.number(lat_size)}) as bigint)")).withColumn("cx", F.expr(f"cast(floor(lon / {geo.number(lon_size)}) as bigint)"))
+    k = "cos(radians(lat)) * 111320e0"
+    d = geo.point_to_segment("0e0", "0e0", f"((alon - lon) * {k})", "((alat - lat) * 111320e0)", f"((blon - lon) * {k})", "((blat - lat) * 111320e0)")
+    pairs = asked.join(roads, ["cy", "cx"]).where("edge <> surrogate").where(F.expr(geo.bearing_difference("bearing", "other")) <= angle).withColumn("d", F.expr(d)).where(F.col("d") <= radius_m)
+    return pairs.groupBy("edge").agg(F.min(F.struct(F.round("d", 4).alias("d"), "surrogate")).alias("m")).select("edge", "m.surrogate", F.col("m.d").alias("distance_m"))
+
+
+def points_on_track(points: DataFrame, segments: DataFrame, radius_m: float, top_lat: float = 60.0) -> DataFrame:
+    """(route, id, along_m, off_m): points within the radius of a route, at the length of their nearest place on it.
+
+    Segments (route, seq, length_m, alat, alon, blat, blon); the place on a segment is found in degrees.
+    """
+    w = Window.partitionBy("route").orderBy("seq")
+    size = max(radius_m, 2000.0)
+    lat_size, lon_size = size / 111000.0, size / (111320.0 * math.cos(math.radians(top_lat)))
+    pad_lat, pad_lon = radius_m / 111000.0, radius_m / (111320.0 * math.cos(math.radians(top_lat)))
+    seg = segments.withColumn("before", F.sum("length_m").over(w) - F.col("length_m"))
+    for name, a, b, pad, step in (("cy", "alat", "blat", pad_lat, lat_size), ("cx", "alon", "blon", pad_lon, lon_size)):
+        low, high = f"floor((least({a}, {b}) - {geo.number(pad)}) / {geo.number(step)})", f"floor((greatest({a}, {b}) + {geo.number(pad)}) / {geo.number(step)})"
+        seg = seg.withColumn(name, F.explode(F.expr(f"sequence(cast({low} as bigint), cast({high} as bigint))")))
+    pts = points.withColumn("cy", F.expr(f"cast(floor(lat / {geo.number(lat_size)}) as bigint)")).withColumn("cx", F.expr(f"cast(floor(lon / {geo.number(lon_size)}) as bigint)"))
+    size2 = "((blon - alon) * (blon - alon) + (blat - alat) * (blat - alat))"
+    f = f"CASE WHEN {size2} = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, ((lon - alon) * (blon - alon) + (lat - alat) * (blat - alat)) / {size2})) END"
+    near = pts.join(seg, ["cy", "cx"]).withColumn("f", F.expr(f)).withColumn("off", F.expr(geo.haversine("lat", "lon", "(alat + f * (blat - alat))", "(alon + f * (blon - alon))"))).where(F.col("off") <= radius_m)
+    best = near.groupBy("route", "id").agg(F.min(F.struct(F.round("off", 3).alias("off_m"), "seq", F.round(F.expr("before + f * length_m"), 3).alias("along_m"))).alias("m"))
+    return best.select("route", "id", "m.along_m", "m.off_m")
