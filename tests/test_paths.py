@@ -8,6 +8,7 @@ import pytest
 
 from cadenza.operators import paths as p
 from cadenza.operators import tracks as t
+from cadenza.plans import path_queries as q
 
 
 def random_roads(seed, n=40):
@@ -80,3 +81,10 @@ def test_loops_return_home(spark):
     tiers = [0 if o <= 0.15 else 1 if o <= 0.3 else 2 for o in off]
     assert tiers == sorted(tiers)
     assert [tuple(r) for r in p.loops(plans, edges.repartition(7), nodes, rewards).orderBy("place").collect()] == [tuple(r) for r in rows]
+
+
+def test_map_match_query_takes_whole_rides(spark):
+    edges, nodes = grid(spark, 20)
+    pts = spark.range(1600).selectExpr("1L as session_id", "id as idx", "5078e-2 + id * 1e-4 as lat", "607e-2 as lon")
+    found = q._match(pts, edges, nodes).collect()
+    assert max(r.to_node // 20 for r in found) >= 18 and {r.chunk for r in found} == {0, 1, 2, 3}
