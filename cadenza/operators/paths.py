@@ -61,15 +61,19 @@ class Graph:
         self.roads = roads
         self.a, self.b, self.length = roads["from_node"].to_numpy(), roads["to_node"].to_numpy(), roads["length_m"].to_numpy(float)
         self.ends = roads[["alat", "alon", "blat", "blon"]].to_numpy(float)
+        # Plain numbers for the searches: single elements of arrays are slow to read.
+        self.froms, self.tos, ends = self.a.tolist(), self.b.tolist(), self.ends.tolist()
         self.out = defaultdict(list)
-        for i, n in enumerate(self.a):
+        for i, n in enumerate(self.froms):
             self.out[n].append(i)
         self.at = {}
-        for i in range(len(roads)):
-            self.at[self.a[i]], self.at[self.b[i]] = tuple(self.ends[i, :2]), tuple(self.ends[i, 2:])
+        for a, b, (alat, alon, blat, blon) in zip(self.froms, self.tos, ends):
+            self.at[a], self.at[b] = (alat, alon), (blat, blon)
+        self.back = {(a, b): i for i, (a, b) in enumerate(zip(self.froms, self.tos))}
         # Lengths below the distance of the ends would make that distance too high an estimate; the least ratio mends it.
-        direct = [metres(*e) for e in self.ends]
-        self.ratio = min([1.0, *(n / d for n, d in zip(self.length, direct) if d > 0)])
+        direct = [metres(*e) for e in ends]
+        self.ratio = min([1.0, *(n / d for n, d in zip(self.length.tolist(), direct) if d > 0)])
+        self.estimates: dict[frozenset, dict] = {}
 
     def distances(self, lat: float, lon: float) -> np.ndarray:
         """Metres from a point to every road, in a plane around the point."""
@@ -82,13 +86,16 @@ class Graph:
 
     def path(self, start, goals: set, weight=None) -> list[int] | None:
         """Roads of a least-cost path from a node to the nearest of some nodes; None if there is none. Estimates never exceed the cost."""
-        weight = self.length if weight is None else weight
+        weight = (self.length if weight is None else np.asarray(weight)).tolist()
         aims = [self.at[g] for g in goals if g in self.at]
         if not aims:
             return None
+        known = self.estimates.setdefault(frozenset(goals), {})
 
         def ahead(n) -> float:
-            return self.ratio * min(metres(*self.at[n], *g) for g in aims) if n in self.at else 0.0
+            if n not in known:
+                known[n] = self.ratio * min(metres(*self.at[n], *g) for g in aims) if n in self.at else 0.0
+            return known[n]
 
         best, via, done, heap = {start: 0.0}, {}, set(), [(ahead(start), start)]
         while heap:
@@ -99,11 +106,11 @@ class Graph:
                 found = []
                 while n != start:
                     found.append(via[n])
-                    n = self.a[via[n]]
+                    n = self.froms[via[n]]
                 return found[::-1]
             done.add(n)
             for i in self.out[n]:
-                m, cost = self.b[i], best[n] + weight[i]
+                m, cost = self.tos[i], best[n] + weight[i]
                 if cost < best.get(m, math.inf):
                     best[m], via[m] = cost, i
                     heapq.heappush(heap, (cost + ahead(m), m))
@@ -280,14 +287,14 @@ def loops(plans: DataFrame, edges: DataFrame, nodes: DataFrame, rewards: DataFra
                 quadrants[(east, north)].append((-(1 - abs(d - reach) / reach) - 0.1 * worth[n] / top, n))
         around = [(True, True), (True, False), (False, False), (False, True)]
         options = [[None, *[n for _, n in sorted(quadrants[q])[:per_quadrant]]] for q in around]
-        trips, seen = [], set()
+        trips, seen, ridden = [], set(), {}
         for combo in np.stack(np.meshgrid(*[np.arange(len(o)) for o in options], indexing="ij"), -1).reshape(-1, 4):
             stops = [o[k] for o, k in zip(options, combo) if o[k] is not None]
             close = any(metres(*g.at[x], *g.at[y]) < apart_m for j, x in enumerate(stops) for y in stops[:j])
             if len(stops) < 2 or close:
                 continue
             for order in (stops, stops[::-1]):
-                trip = self_avoiding(g, [home, *order, home], reuse)
+                trip = self_avoiding(g, [home, *order, home], reuse, ridden)
                 if trip and tuple(trip) not in seen:
                     seen.add(tuple(trip))
                     trips.append(trip)
@@ -296,16 +303,17 @@ def loops(plans: DataFrame, edges: DataFrame, nodes: DataFrame, rewards: DataFra
             length = g.length[trip].sum()
             first, again = set(), 0.0
             for i in trip:
-                road = (min(g.a[i], g.b[i]), max(g.a[i], g.b[i]))
-                again += g.length[i] if road in first else 0.0
+                a, b = g.froms[i], g.tos[i]
+                road = (a, b) if a < b else (b, a)
+                again += float(g.length[i]) if road in first else 0.0
                 first.add(road)
-            y, x = (np.array([g.at[g.a[i]] for i in trip]) - (p.lat, p.lon)).T * METRES_PER_DEGREE
+            y, x = (np.array([g.at[g.froms[i]] for i in trip]) - (p.lat, p.lon)).T * METRES_PER_DEGREE
             x = x * math.cos(math.radians(p.lat))
             area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
             off = abs(length - p.target_m) / p.target_m
             tier = 0 if off <= 0.15 else 1 if off <= 0.3 else 2
             reward, shape = float(gain[list(set(trip))].sum()), 4 * math.pi * area / length**2
-            rows.append(((tier, -reward, again / length - shape, tuple(trip)), length, reward, again / length, shape, [home, *[int(g.b[i]) for i in trip]]))
+            rows.append(((tier, -reward, again / length - shape, tuple(trip)), length, reward, again / length, shape, [home, *[g.tos[i] for i in trip]]))
         rows.sort(key=lambda r: r[0])
         data = [(p.plan_id, k + 1, *r[1:]) for k, r in enumerate(rows)]
         return pd.DataFrame(data, columns=["plan_id", "place", "length_m", "reward", "repeat_fraction", "compactness", "nodes"])
@@ -313,16 +321,24 @@ def loops(plans: DataFrame, edges: DataFrame, nodes: DataFrame, rewards: DataFra
     return roads.groupBy("plan_id").applyInPandas(plan, "plan_id long, place int, length_m double, reward double, repeat_fraction double, compactness double, nodes array<long>")
 
 
-def self_avoiding(g: Graph, stops: list, reuse: float) -> list[int] | None:
-    """Roads from stop to stop, those already taken made dear."""
-    weight, back, trip = g.length.copy(), {(a, b): i for i, (a, b) in enumerate(zip(g.a, g.b))}, []
-    for a, b in zip(stops, stops[1:]):
-        leg = g.path(a, {b}, weight)
-        if leg is None:
+def self_avoiding(g: Graph, stops: list, reuse: float, ridden: dict | None = None) -> list[int] | None:
+    """Roads from stop to stop, those already taken made dear; ``ridden`` keeps what trips that begin alike share."""
+    ridden = {} if ridden is None else ridden
+    weight, trip = g.length, []
+    for k in range(2, len(stops) + 1):
+        key = tuple(stops[:k])
+        if key not in ridden:
+            leg = g.path(stops[k - 2], {stops[k - 1]}, weight)
+            if leg is None:
+                ridden[key] = None
+            else:
+                dear = weight.copy()
+                for i in leg:
+                    for j in (i, g.back.get((g.tos[i], g.froms[i]))):
+                        if j is not None:
+                            dear[j] = reuse * g.length[j]
+                ridden[key] = dear, trip + leg
+        if ridden[key] is None:
             return None
-        for i in leg:
-            for j in (i, back.get((g.b[i], g.a[i]))):
-                if j is not None:
-                    weight[j] = reuse * g.length[j]
-        trip += leg
+        weight, trip = ridden[key]
     return trip

@@ -88,3 +88,8 @@ def test_map_match_query_takes_whole_rides(spark):
     pts = spark.range(1600).selectExpr("1L as session_id", "id as idx", "5078e-2 + id * 1e-4 as lat", "607e-2 as lon")
     found = q._match(pts, edges, nodes).collect()
     assert max(r.to_node // 20 for r in found) >= 18 and {r.chunk for r in found} == {0, 1, 2, 3}
+
+
+def test_way_home_query_plans_a_trip_for_every_node(spark):
+    _, nodes = grid(spark, 20)
+    assert sorted(r.trip_id for r in q._trips(nodes).collect()) == list(range(400 - 43))
