@@ -30,7 +30,7 @@ def _match(points, edges, nodes):
 
 register("way_home", lambda e, n: paths.way_home(_trips(n), e, n), NG)
 register("map_match", _match, f"ride_points {NG}")
-register("plan_loop", lambda e, n: paths.loops(n.where("id % 211 = 110").selectExpr("id as plan_id", "lat", "lon", "14e3 as target_m"), e, n, e.selectExpr("from_node", "to_node", "cast(traversal_count as double) as reward"))
+register("plan_loop", lambda e, n: paths.loops(n.selectExpr("id as plan_id", "lat", "lon", "14e3 as target_m"), e, n, e.selectExpr("from_node", "to_node", "cast(traversal_count as double) as reward"))
          .selectExpr("plan_id", "place", "round(length_m, 4) as length_m", "round(reward, 4) as reward", "round(repeat_fraction, 6) as repeat_fraction", "round(compactness, 6) as compactness", "array_join(nodes, ',') as nodes"), NG)
 
 

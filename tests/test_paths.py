@@ -9,6 +9,7 @@ import pytest
 from cadenza.operators import paths as p
 from cadenza.operators import tracks as t
 from cadenza.plans import path_queries as q
+from cadenza.plans.registry import QUERIES
 
 
 def random_roads(seed, n=40):
@@ -93,3 +94,8 @@ def test_map_match_query_takes_whole_rides(spark):
 def test_way_home_query_plans_a_trip_for_every_node(spark):
     _, nodes = grid(spark, 20)
     assert sorted(r.trip_id for r in q._trips(nodes).collect()) == list(range(400 - 43))
+
+
+def test_plan_loop_query_plans_for_every_node(spark):
+    found = {r.plan_id for r in QUERIES["plan_loop"](spark, "/root/testdata/sf0.001").select("plan_id").distinct().collect()}
+    assert len(found) > 150 and len({i % 211 for i in found}) > 150
