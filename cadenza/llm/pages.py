@@ -42,6 +42,7 @@ class Node:
     children: list[int] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     links: int = 0
+    place: int = 0  # among its siblings
 
 
 def parse(page: str) -> list[Node]:
@@ -60,7 +61,7 @@ def parse(page: str) -> list[Node]:
                 if text.isspace():
                     continue
                 run = len(nodes)
-                nodes.append(Node("#text", stack[-1], len(stack)))
+                nodes.append(Node("#text", stack[-1], len(stack), place=len(nodes[stack[-1]].children)))
                 nodes[stack[-1]].children.append(run)
             nodes[run].pieces.append(text)
             if in_link:
@@ -103,8 +104,8 @@ def parse(page: str) -> list[Node]:
                     break
         if tag in ("html", "body"):
             continue
-        nodes[stack[-1]].children.append(len(nodes))
-        nodes.append(Node(tag, stack[-1], len(stack), attrs))
+        nodes.append(Node(tag, stack[-1], len(stack), attrs, place=len(nodes[stack[-1]].children)))
+        nodes[stack[-1]].children.append(len(nodes) - 1)
         if tag not in VOID and not attrs.endswith("/"):
             stack.append(len(nodes) - 1)
     return nodes
@@ -154,7 +155,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             good[i] = good[p] + own_good + (kind == 7)
             upper[i] = kind if 7 <= kind <= 12 else upper[p]
             family = nodes[p].children
-            place = family.index(i) if len(family) < 64 else seen
+            place = node.place
             pc, pl, pt = chars[p], links[p], tags[p]
             share = chars[i] / (pc or 1)
         else:

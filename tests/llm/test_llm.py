@@ -230,6 +230,13 @@ def test_page_text():
     assert text == "A & B\nOne two\nThree four, five and six, seven eight nine ten eleven twelve."
 
 
+def test_place_among_many_siblings():
+    nodes = pages.parse("<article>" + "<p>One two three.</p>" * 100 + "</article>")
+    x = pages.features(nodes)
+    assert [x[i, 15] for i, n in enumerate(nodes) if n.tag == "p"] == pytest.approx([k / 100 for k in range(100)])
+    assert all(nodes[c].place == k for n in nodes for k, c in enumerate(n.children))
+
+
 def test_pages_match_their_articles(spark):
     import html
 
