@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: So many rows are no burden to one task, whatever their keys.
+ONE_TASK = 20_000
+
 
 def join_hot(rows: DataFrame, values: DataFrame, key: str, parts: int = 256) -> DataFrame:
     """Left join of ``rows`` with ``values`` (at most one row a key, no null key) on a column ``key``, whatever the skew of ``rows``.
@@ -13,11 +16,13 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, parts: int = 256) ->
     of the input, so their values are broadcast and their rows stay where they are; all other rows are shuffled. Rows
     with a null key get nulls, without a shuffle. Both inputs should be stored tables: each is read more than once.
     """
+    added = [c for c in values.columns if c != key]
+    total = rows.count()
+    if total <= ONE_TASK:
+        return rows.join(values, key, "left").select(*rows.columns, *added)
     known = rows.where(F.col(key).isNotNull())
-    total = known.count()
     counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = [r[0] for r in counts.where(F.col("_rows") > max(total // parts, 64)).select(key).collect()]
-    added = [c for c in values.columns if c != key]
+    hot = [r[0] for r in counts.where(F.col("_rows") > total // parts).select(key).collect()]
     empty = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in added])
     if not hot:
         return known.join(values, key, "left").select(*rows.columns, *added).unionByName(empty)
