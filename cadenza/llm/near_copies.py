@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.components import connected_components
-from cadenza.plans.lineage import materialize, store
+from cadenza.operators.joins import join_hot
+from cadenza.plans.lineage import discard, store
 
 
 @dataclass(frozen=True)
@@ -100,30 +102,33 @@ def shingle_sets(texts: list[str | None], k: int, common: np.ndarray | None = No
     return tokens[new], np.bincount(who[new], minlength=len(texts)).astype(np.int64)
 
 
-def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+def _sets(rows: DataFrame, config: NearCopies, common: np.ndarray | None, whole: bool) -> DataFrame:
+    """doc_id, text_id, node (63 bits that name the set; null: empty), n, and tokens: the whole set, or its prefix.
 
-
-def _sets(docs: DataFrame, config: NearCopies, common: np.ndarray | None, whole: bool) -> DataFrame:
-    """doc_id, class (16 bytes that name the set; null: empty), n, and tokens: the whole set, or its prefix."""
+    Copies within a slice of a batch share a node, of which only the first carries tokens; the others have null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                flat, n = shingle_sets(batch.column(1).to_pylist(), config.k, common)
+                flat, n = shingle_sets(batch.column(2).to_pylist(), config.k, common)
                 ends = np.cumsum(n)
                 plain = flat & ~np.int64(1 << 62)
-                name = [None if not c else hashlib.blake2b(np.sort(plain[e - c : e]).tobytes(), digest_size=16).digest() for c, e in zip(n, ends)]
-                if not whole:
-                    take = np.where(n > 0, prefix_length(n, config.percent), 0)
-                    mask = np.arange(len(flat)) - np.repeat(ends - n, n) < np.repeat(take, n)
-                    flat, lengths = flat[mask], take
-                else:
-                    lengths = n
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.binary()), pa.array(n, pa.int64()), _lists(flat, lengths)], names=["doc_id", "class", "n", "tokens"])
+                name = [None if not c else int.from_bytes(hashlib.blake2b(np.sort(plain[e - c : e]).tobytes(), digest_size=8).digest(), "little") >> 1 for c, e in zip(n, ends)]
+                seen: set = set()
+                fresh = np.array([x is not None and not (x in seen or seen.add(x)) for x in name], bool)
+                take = np.where(fresh, n if whole else prefix_length(n, config.percent), 0)
+                mask = np.arange(len(flat)) - np.repeat(ends - n, n) < np.repeat(take, n)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(flat[mask]), mask=pa.array(~fresh))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.int64()), pa.array(n, pa.int64()), tokens], names=["doc_id", "text_id", "node", "n", "tokens"])
+
+    return rows.mapInArrow(run, "doc_id bigint, text_id bigint, node bigint, n bigint, tokens array<bigint>")
 
-    return docs.mapInArrow(run, "doc_id bigint, class binary, n bigint, tokens array<bigint>")
+
+def _by_node(sets: DataFrame) -> DataFrame:
+    """(node, n, tokens) with one row a node: its copies' tokens are the same."""
+    return sets.where("tokens is not null and doc_id is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -201,7 +206,7 @@ def _rows(table: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
 
 
 def _compare(left, right, percent: int, same: bool) -> list[tuple]:
-    """Links between two blocks of at most ``block`` rows each, or within one."""
+    """Links between two blocks of rows, or within one."""
     (ids_a, sets_a, na), (ids_b, sets_b, nb) = left, right
     if not ids_a or not ids_b:
         return []
@@ -218,11 +223,11 @@ def _compare(left, right, percent: int, same: bool) -> list[tuple]:
     return forest(good, [ids_a[i] for i in ia], [ids_b[i] for i in ib])
 
 
-def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> DataFrame:
-    """Links between the nodes of each group (leader, node); ``whole`` has each node's tokens."""
+def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between the nodes of each group (leader, node), and the tables stored for them; ``whole`` has each node's tokens."""
     percent, block = config.percent, config.block
     sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    known = materialize(groups.join(sizes, "leader"))
+    known = store(join_hot(groups, sizes, "leader"))
     small = known.where(F.col("members") <= block).select("leader", "node").join(whole, "node")
 
     def within(table: pa.Table) -> pa.Table:
@@ -232,14 +237,14 @@ def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> DataFrame
     links = small.groupBy("leader").applyInArrow(within, _LINKS)
     large = known.where(F.col("members") > block)
     if large.isEmpty():
-        return links
-    large = store(large.select("leader", "node", (F.col("node") == F.col("leader")).alias("lead")).join(whole, "node"))
+        return links, [known]
+    large = store(large.select("leader", "node", "members", (F.col("node") == F.col("leader")).alias("lead")).join(whole, "node"))
     # Large groups first shrink: chunk by chunk all members are compared with the leader. What links with it is one
     # component and needs no comparison within. Distances are a metric, so a member at distance d from the leader
     # can only link with linked members whose own distance is at least d less the link distance.
-    parts = large.groupBy("leader").agg(F.count(F.lit(1)).alias("n_all")).withColumn("parts", F.ceil(F.col("n_all") / block).cast("int"))
-    lead = large.where("lead").join(parts, "leader").select("leader", "node", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
-    rest = large.where("not lead").join(parts, "leader").select("leader", "node", "tokens", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("lead"))
+    parts = F.ceil(F.col("members") / block).cast("int")
+    lead = large.where("lead").select("leader", "node", "tokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("lead"))
+    rest = large.where("not lead").select("leader", "node", "tokens", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(False).alias("lead"))
 
     def to_leader(table: pa.Table) -> pa.Table:
         ids, sets, n = _rows(table)
@@ -247,98 +252,121 @@ def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> DataFrame
         first = int(is_lead.argmax())
         inter = np.array([np.intersect1d(sets[first], s, assume_unique=True).size for s in sets], np.int64)
         union = n[first] + n - inter
-        return pa.table({"leader": table["leader"], "node": table["node"], "far": pa.array(1 - inter / union), "linked": pa.array(100 * inter >= percent * union)}).filter(pa.array(~is_lead))
+        out = {"leader": table["leader"], "node": table["node"], "n": pa.array(n), "far": pa.array(1 - inter / union), "linked": pa.array(100 * inter >= percent * union)}
+        return pa.table(out).filter(pa.array(~is_lead))
 
-    near = materialize(lead.unionByName(rest).groupBy("leader", "part").applyInArrow(to_leader, "leader bigint, node bigint, far double, linked boolean"))
+    near = stored_near = store(lead.unionByName(rest).groupBy("leader", "part").applyInArrow(to_leader, "leader bigint, node bigint, n bigint, far double, linked boolean"))
     links = links.unionByName(near.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
     reach = 1 - percent / 100 + 1e-9
-    open_ = near.where("not linked")
-    counts = open_.groupBy("leader").agg(F.count(F.lit(1)).alias("n_open"), F.min("far").alias("nearest"))
-    open_parts = counts.withColumn("open_parts", F.ceil(F.col("n_open") / block).cast("int"))
-    tagged = near.join(open_parts, "leader").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - reach))
-    tagged = tagged.withColumn("own", F.when(~F.col("linked"), F.pmod(F.xxhash64("node"), F.col("open_parts")).cast("int")).otherwise(F.lit(-1)))
-    # Open members meet the open members of their own and later parts; linked members meet every open part.
-    others = tagged.withColumn("salt", F.when(F.col("linked"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64)).cast("int")).otherwise(F.lit(-1)))
-    asked = tagged.where("own >= 0").select("leader", "node", "own", "open_parts")
-    against = others.groupBy("leader", "own", "salt").agg(F.count(F.lit(1)).alias("rows"))
-    pairs = open_parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("open_parts") - 1)).alias("i")).join(against, "leader").where("own = -1 or own >= i")
-    pairs = pairs.select("leader", "i", F.col("own").alias("j"), "salt")
-    tokens = large.select("leader", "node", "tokens")
-    one = pairs.join(asked.withColumnRenamed("own", "i"), ["leader", "i"]).select("leader", "i", "j", "salt", "node", F.lit(0).alias("side"))
-    two = pairs.join(others.withColumnRenamed("own", "j"), ["leader", "j", "salt"]).select("leader", "i", "j", "salt", "node", F.lit(1).alias("side"))
-    both = one.unionByName(two).join(tokens, ["leader", "node"])
+    # Linked sets differ in size by less than one step of this scale, so only equal and neighbouring sizes meet.
+    near = near.withColumn("size", F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int"))
+    counts = store(near.where("not linked").groupBy("leader").agg(F.count(F.lit(1)).alias("n_open"), F.min("far").alias("nearest")))
+    tagged = join_hot(near, counts, "leader").where(F.col("n_open").isNotNull() & (~F.col("linked") | (F.col("far") >= F.col("nearest") - reach)))
+    # Cells of a group: open members by size and chunk, and linked members by size and salt.
+    chunks = F.ceil(F.col("n_open") / block).cast("int")
+    tagged = tagged.withColumn("own", F.when(~F.col("linked"), F.pmod(F.xxhash64("node"), chunks).cast("int")).otherwise(-1 - F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64)).cast("int")))
+    tagged = store(tagged.select("leader", "node", "size", "own"))
+    # Open members meet the open members of their own and later cells; linked members meet every open cell.
+    cells = store(tagged.select("leader", "size", "own").distinct())
+    other = cells.select("leader", F.col("size").alias("size2"), F.col("own").alias("own2"))
+    later = (F.col("own2") < 0) | (F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("own2") >= F.col("own")))
+    pairs = cells.where("own >= 0").join(other, "leader").where((F.abs(F.col("size2") - F.col("size")) <= 1) & later)
+    one = pairs.join(tagged, ["leader", "size", "own"]).withColumn("side", F.lit(0))
+    two = pairs.join(tagged.withColumnsRenamed({"size": "size2", "own": "own2"}), ["leader", "size2", "own2"]).withColumn("side", F.lit(1))
+    cell = ["leader", "size", "own", "size2", "own2"]
+    both = one.select(*cell, "node", "side").unionByName(two.select(*cell, "node", "side")).join(large.select("leader", "node", "tokens"), ["leader", "node"])
 
     def across(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         left, right = _rows(table.filter(pa.array(side == 0))), _rows(table.filter(pa.array(side == 1)))
-        same = table["i"][0].as_py() == table["j"][0].as_py()
         found = []
         for at in range(0, len(right[0]), block):
             cut = tuple(x[at : at + block] for x in right)
-            if same:
-                found += [(a, b) for a, b in _compare(left, cut, percent, False) if a != b]
-            else:
-                found += _compare(left, cut, percent, False)
+            for up in range(0, len(left[0]), block):
+                found += [(a, b) for a, b in _compare(tuple(x[up : up + block] for x in left), cut, percent, False) if a != b]
         return _link_table(found)
 
-    return links.unionByName(both.groupBy("leader", "i", "j", "salt").applyInArrow(across, _LINKS))
+    return links.unionByName(both.groupBy(*cell).applyInArrow(across, _LINKS)), [known, large, stored_near, counts, tagged, cells]
+
+
+def _grouped(docs: DataFrame, config: NearCopies) -> DataFrame:
+    """(doc_id, text_id, node, n, first): a row for each row of ``docs``; first is the least (doc_id, text_id) that links reach, null for a null doc_id or no words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    sets = store(_sets(rows, config, None, False))
+    members = store(sets.select("doc_id", "text_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "n"))
+    counts = _by_node(sets).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > config.common)
+    common = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(config.max_common).select("token").collect()], np.int64))
+    discard(sets)
+    nodes = store(_by_node(_sets(rows, config, common, False)))
+    placed, standing = nodes.select("node", F.explode("tokens").alias("token")), None
+    for _ in range(2):
+        # Shingles of one node only, and nodes that share too few, leave; that may free more.
+        shared = placed.join(placed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "token")
+        held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(nodes.select("node", "n", F.size("tokens").alias("p")), "node")
+        held = held.where(F.col("held") >= least_shared(F.col("n"), config.percent)).select("node", "n", (F.col("p") - F.col("held")).alias("alone"))
+        before, standing = standing, store(shared.join(held, "node"))
+        if before is not None:
+            discard(before)
+        placed = standing.select("node", "token")
+    discard(nodes)
+    leaders = standing.groupBy("token").agg(F.min(F.struct("alone", "n", "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
+    every = store(standing.select("token", "node").join(leaders, "token").select("leader", "node").distinct())
+    discard(standing)
+    # A group of one has nothing to compare.
+    groups = store(every.join(every.where("node <> leader").select("leader").distinct(), "leader", "left_semi"))
+    discard(every)
+    wanted = groups.select("node").distinct()
+    speaker = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_id")).alias("s")).select("s.doc_id", "s.text_id")
+    speaker = store(speaker)
+    side = F.broadcast(speaker) if speaker.count() <= config.send_ids else speaker
+    texts = rows.join(side, ["doc_id", "text_id"], "left_semi")
+    whole = store(_by_node(_sets(texts, config, None, True)).select("node", "tokens"))
+    links, scratch = _links(groups, whole, config)
+    roots = connected_components(links)
+    discard(whole, groups, speaker, *scratch)
+    own = members.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_id")).alias("least"))
+    linked = store(own.join(roots, "node", "left"))
+    firsts = store(linked.where("root is not null").groupBy("root").agg(F.min("least").alias("first")))
+    by_node = store(join_hot(linked, firsts, "root").select("node", F.coalesce("first", "least").alias("first")))
+    return join_hot(members, by_node, "node")
 
 
 def near_copy_components(docs: DataFrame, config: NearCopies = NearCopies()) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least doc_id that links reach.
 
-    1. Documents of one set of shingles are one node, named by the least doc_id. 2. Shingles are ordered, long ones
+    1. Documents of one set of shingles are one node, named by a hash of the set. 2. Shingles are ordered, long ones
     first, common ones last (those in many prefixes of a first pass); linked sets share shingles in their prefixes by
     that order, and a bound tells how many, so most nodes drop out. 3. A shingle's nodes meet under one leader: the
     node whose prefix holds the fewest shingles of its own. Nodes with the same leader form a group, and a blocked
     sparse product counts the overlaps within it; sizes and distances to the leader rule out pairs. Tasks return only
-    as many links as connect what they found. 4. Components of the links, named by their least node.
+    as many links as connect what they found. 4. Components of the links, named by their least doc_id.
 
     Documents without words link with nothing and keep their own doc_id; a null doc_id has a null component and takes
-    no part. Repeated rows, and rows that share a doc_id, are one node where their sets agree; a doc_id with several
-    sets stands for all of those that are not copies of a smaller doc_id. Other columns are ignored.
+    no part. Rows are documents: repeated rows are copies of each other, and rows that share a doc_id but differ in
+    their sets are different documents, each with its own links. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = _sets(rows.where("doc_id is not null"), config, None, False).select(F.explode("tokens").alias("token"))
-    counts = first.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > config.common)
-    common = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(config.max_common).select("token").collect()], np.int64))
-    sets = store(_sets(rows, config, common, False))
-    copies = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("owner"))
-    owned = store(sets.join(copies, "class", "left").select("doc_id", "n", "owner", F.when(F.col("doc_id") == F.col("owner"), F.col("tokens")).alias("tokens")))
-    nodes = owned.where("doc_id = owner").select(F.col("owner").alias("node"), "n", F.size("tokens").alias("p"))
-    placed = owned.where("doc_id = owner").select(F.col("owner").alias("node"), F.explode("tokens").alias("token"))
-    standing = placed
-    for _ in range(2):
-        # Shingles of one node only, and nodes that share too few, leave; that may free more.
-        shared = placed.join(placed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "token")
-        held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held")).join(nodes.dropDuplicates(["node"]), "node")
-        held = held.where(F.col("held") >= least_shared(F.col("n"), config.percent)).select("node", "n", (F.col("p") - F.col("held")).alias("alone"))
-        standing = materialize(shared.join(held, "node"))
-        placed = standing.select("node", "token")
-    leaders = standing.groupBy("token").agg(F.min(F.struct("alone", "n", "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
-    groups = standing.select("token", "node").join(leaders, "token").select("leader", "node").distinct()
-    # A group of one has nothing to compare.
-    groups = materialize(groups.join(groups.where("node <> leader").select("leader").distinct(), "leader"))
-    wanted = materialize(groups.select("node").distinct())
-    side = F.broadcast(wanted) if wanted.count() <= config.send_ids else wanted
-    texts = rows.join(side, F.col("doc_id") == F.col("node")).select("doc_id", "text")
-    whole = store(_sets(texts, config, None, True).select(F.col("doc_id").alias("node"), "tokens").dropDuplicates(["node"]))
-    links = _links(groups, whole, config)
-    roots = connected_components(links).select(F.col("node").alias("owner"), "root")
-    out = owned.select("doc_id", F.col("n").alias("n_shingles"), "owner").join(roots, "owner", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "owner", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return _grouped(docs, config).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, config: NearCopies = NearCopies()) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it, one row of it where it is repeated.
+    """``docs`` with one row of each component: that of its least doc_id (and least text hash, where ids repeat).
 
-    Rows without words, and rows with a null doc_id, are copies of nothing and stay. All columns stay in their order.
+    Rows without words, and rows with a null doc_id, are copies of nothing and stay. Repeated rows are copies of each
+    other; which of them stays goes by their other columns. Columns stay in their order, whatever their names. Only the
+    keys of dropped rows travel: they are broadcast up to ``send_ids`` of them, and joined by shuffle beyond.
     """
-    found = near_copy_components(docs, config)
-    keep = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    ids = docs.withColumn("__id", F.col("doc_id").cast("long")).where("__id is not null")
-    kept = ids.join(keep.where("doc_id is not null").select(F.col("doc_id").alias("__keep")), F.col("__id") == F.col("__keep"))
-    single = kept.drop("__id", "__keep").dropDuplicates(["doc_id"])
-    return single.select(*columns).unionByName(docs.where("doc_id is null").select(*columns))
+    keys = store(_grouped(docs, config).where("first is not null").groupBy("doc_id", "text_id").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("times")))
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    gone, again = store(keys.where(~is_first).select("doc_id", "text_id")), store(keys.where(is_first & (F.col("times") > 1)).select("doc_id", "text_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"))
+
+    def side(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() <= config.send_ids else table
+
+    kept = rows.join(side(gone), ["doc_id", "text_id"], "left_anti")
+    if again.isEmpty():
+        return kept.select("row.*")
+    simple = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant", "array<map", "struct"))]
+    one = kept.join(side(again), ["doc_id", "text_id"], "left_semi").groupBy("doc_id", "text_id").agg(F.min_by("row", F.struct(*[F.col("row")[c] for c in simple])).alias("row"))
+    return kept.join(side(again), ["doc_id", "text_id"], "left_anti").select("row.*").unionByName(one.select("row.*"))
