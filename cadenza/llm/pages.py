@@ -17,7 +17,8 @@ from cadenza.llm.boosting import BoostedTrees
 
 # Element names by how the HTML standard treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas audio video select textarea button math head title".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SKIPPED = frozenset("noscript template svg math object canvas audio video select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
@@ -25,8 +26,10 @@ SAME_CLOSES = {"li": ("ul", "ol", "menu"), "td": ("tr", "table"), "th": ("tr", "
 BAD_TOKENS = "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget related recommended share sharing social comment comments reply replies respond discussion cookie cookies consent notice gdpr popup modal subscribe newsletter signup login form search tags meta toolbar pager pagination skip".split()
 GOOD_TOKENS = "article content main body text post entry story page prose markdown blog news".split()
 
-_TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|([^<]+|<)")
-_ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A quote opens a value only behind an equals sign; elsewhere it is a character like others, so a tag ends at its next ">".
+_TOKEN = re.compile(r"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*>?|</(?:>|[^a-zA-Z>][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?|[^=>])*+)>|([^<]+|<)")
+_BLOCK = re.compile(r"<(?:p|div|article|main|section|h[1-6]|ul|ol|table|blockquote|body|footer|header|nav|aside)\b", re.I)
+_ATTRS = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _BAD, _GOOD = frozenset(BAD_TOKENS), frozenset(GOOD_TOKENS)
 
@@ -45,16 +48,30 @@ class Node:
     place: int = 0  # among its siblings
 
 
+def _end_of(page: str, tag: str, at: int, ends: dict[str, re.Match | None]) -> re.Match | None:
+    """The next end tag of ``tag``; ``ends`` keeps what was found, so that a page is searched once a tag."""
+    found = ends.get(tag, False)
+    if found is False or found is not None and found.start() < at:
+        found = ends[tag] = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+    return found
+
+
 def parse(page: str) -> list[Node]:
-    """Block elements and their runs of text, in page order; inline elements and line breaks only mark up runs."""
+    """Block elements and their runs of text, in page order; inline elements and line breaks only mark up runs.
+
+    Only elements whose content is raw text by the HTML standard hide what follows up to their end tag, or to the end of
+    the page without one. Embedded things and controls hide their content if they end before any block begins; else
+    their tag alone is left out. A slash before ">" does not close an element. A tag that never ends is no text.
+    """
     nodes = [Node("#root", -1, 0)]
     stack, run, in_link = [0], -1, 0
     at, n = 0, len(page)
+    ends: dict[str, re.Match | None] = {}
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         close, tag, attrs, text = m.groups()
-        if text == "<" and page[at : at + 1].strip("/").isalpha():  # a tag that never ends: nothing of it is text
+        if text == "<" and page[at : at + 1].strip("/").isalpha():
             break
         if text is not None:
             if run < 0:
@@ -70,12 +87,13 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in RAW and not close:
-            if tag in ("head",):
-                continue
-            if not attrs.endswith("/"):
-                end = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else n
+        if tag in RAW or tag in SKIPPED:
+            if not close and not (tag in ("svg", "math") and attrs.endswith("/")):
+                end = _end_of(page, tag, at, ends)
+                if tag in RAW:
+                    at = end.end() if end else n
+                elif end and (tag in ("noscript", "template", "svg", "math") or not _BLOCK.search(page, at, end.start())):
+                    at = end.end()
             if run >= 0:
                 nodes[run].pieces.append(" ")
             continue
@@ -102,11 +120,11 @@ def parse(page: str) -> list[Node]:
                 if t == tag or (tag in ("td", "th") and t in ("td", "th")) or (tag in ("dt", "dd") and t in ("dt", "dd")):
                     del stack[k:]
                     break
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             continue
         nodes.append(Node(tag, stack[-1], len(stack), attrs, place=len(nodes[stack[-1]].children)))
         nodes[stack[-1]].children.append(len(nodes) - 1)
-        if tag not in VOID and not attrs.endswith("/"):
+        if tag not in VOID:
             stack.append(len(nodes) - 1)
     return nodes
 
