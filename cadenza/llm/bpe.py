@@ -106,6 +106,7 @@ class WordBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {vocab[a] << 20 | vocab[b]: (i, vocab[a + b]) for i, (a, b) in reversed(list(enumerate(pairs)))}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = re.compile("|".join(re.escape(x) for x in sorted(self.specials, key=lambda x: (-len(x), x))) or "(?!)")
         self.text_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         # The byte alphabet of byte-level tokenizers: printable bytes stand for themselves, the rest follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -162,14 +163,12 @@ class WordBpe:
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """(number of tokens, their ids, the tokens) by parts of a text; the strings of special tokens are those tokens."""
         out: list[tuple[int, str, str]] = []
-        while True:
-            found = min(((at, s) for s in self.specials if (at := text.find(s)) >= 0), default=None)
-            if found is None:
-                return out + self._plain(text)
-            at, special = found
-            out += self._plain(text[:at])
-            out.append((1, str(self.specials[special]), special))
-            text = text[at + len(special) :]
+        at = 0
+        for m in self.special.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append((1, str(self.specials[m[0]]), m[0]))
+            at = m.end()
+        return out + self._plain(text[at:])
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]
@@ -188,18 +187,23 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
+        collecting = gc.isenabled()
         gc.disable()  # the caches hold no cycles, and looking for some takes longer than the merges
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                parts = bpe.parts(text or "")
-                ids = " ".join([p[1] for p in parts]).encode()
-                back = " ".join([p[2] for p in parts]).encode("utf-8")
-                out.append((sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        try:
+            for batch in batches:
+                out: list[tuple] = []
+                for text in batch.column(1).to_pylist():
+                    parts = bpe.parts(text or "")
+                    ids = " ".join([p[1] for p in parts]).encode()
+                    back = " ".join([p[2] for p in parts]).encode("utf-8")
+                    out.append((sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+                cols = list(zip(*out)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            if collecting:
+                gc.enable()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
