@@ -34,11 +34,16 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.7, ("phone", "call", "tel", "mobile", "telefon", "teléfono")),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 0.5, ("iban", "bank", "account", "konto", "compte", "cuenta")),
 )
+#: Kinds whose confirmed spans always count; spans of the others need a score.
+BASE = ("email", "ip", "card", "phone")
 
 
 @dataclass(frozen=True)
 class PersonalData:
-    """``window``: characters on either side in which a context word counts; ``bonus``: what it adds to the score."""
+    """``window``: characters on either side in which a context word counts; ``bonus``: what it adds to the score.
+
+    ``min_score`` rules out spans of kinds beyond the base ones, such as account numbers without context at 0.6.
+    """
 
     kinds: tuple[Kind, ...] = KINDS
     window: int = 48
@@ -96,7 +101,24 @@ def _scored(proposed: Column, k: int, kind: Kind, config: PersonalData) -> Colum
         return F.struct(x["s"].alias("start"), F.lit(k).alias("order"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score"))
 
     kept = F.filter(proposed, lambda x: _confirmed(kind.name, x["h"]))
-    return F.filter(F.transform(kept, span), lambda x: x["score"] >= config.min_score)
+    spans = F.transform(kept, span)
+    return spans if kind.name in BASE else F.filter(spans, lambda x: x["score"] >= config.min_score)
+
+
+#: Matches that are added up in one go; starts are then shifted block by block, so that no array grows by one at a time.
+BLOCK = 256
+
+
+def _starts(gaps: Column, hits: Column) -> Column:
+    """The start of each match: the lengths of all gaps and matches before it."""
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+    inner = F.transform(blocks, lambda block: F.aggregate(block, none, lambda s, x: F.struct(
+        (s["end"] + x["g"] + F.length(x["h"])).alias("end"), F.concat(s["starts"], F.array(s["end"] + x["g"])).alias("starts"))))
+    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<array<int>>").alias("starts"))
+    return F.flatten(F.aggregate(inner, begin, lambda s, x: F.struct(
+        (s["end"] + x["end"]).alias("end"), F.concat(s["starts"], F.array(F.transform(x["starts"], lambda v: v + s["end"]))).alias("starts")), lambda s: s["starts"]))
 
 
 def _of_kind(kind: str) -> Column:
@@ -116,17 +138,7 @@ def find_spans(docs: DataFrame, config: PersonalData = PersonalData()) -> DataFr
         hits, gaps, at = f"__{kind.name}_hits", f"__{kind.name}_gaps", f"__{kind.name}_at"
         df = df.withColumn(hits, F.when(some, F.regexp_extract_all("text", F.lit(kind.pattern), F.lit(0))))
         df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.transform(F.split("text", kind.pattern, -1), F.length)))
-        start = F.aggregate(
-            F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), F.col(hits).alias("h")),
-            F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts")),
-            lambda s, x: F.struct(
-                (s["end"] + x["g"] + F.length(x["h"])).alias("end"),
-                F.concat(s["starts"], F.array(s["end"] + x["g"])).alias("starts"),
-            ),
-            lambda s: s["starts"],
-        )
-        df = df.withColumn(at, F.when(F.size(hits) > 0, start))
-
+        df = df.withColumn(at, F.when(F.size(hits) > 0, _starts(F.col(gaps), F.col(hits))))
         proposed = F.arrays_zip(F.col(at).alias("s"), F.col(hits).alias("h"))
         name = f"__{kind.name}"
         df = df.withColumn(name, F.when(F.size(hits) > 0, _scored(proposed, k, kind, config)))
@@ -146,12 +158,11 @@ def personal_data(docs: DataFrame, config: PersonalData = PersonalData()) -> Dat
 
     Null and empty texts have no spans; repeated rows give repeated rows; the base kinds count whatever their score.
     """
-    base = ("email", "ip", "card", "phone")
     found = sealed(find_spans(docs.select("doc_id", "text"), config), "doc_id", "spans")
-    own = F.filter("spans", lambda x: x["kind"].isin(*base))
+    own = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[_of_kind(k).alias(f"n_{k}") for k in base],
+        *[_of_kind(k).alias(f"n_{k}") for k in BASE],
         F.sha2(span_text(own), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
         F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0)).alias("max_score"),
