@@ -137,7 +137,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, model: QualityModel = Qualit
     known = labels.select("doc_id", F.col("quality").alias("q")).where("doc_id is not null and q in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("q").alias("q"), F.max("q").alias("q2")).where("q = q2")
     chosen = known.select("doc_id", "q").orderBy(F.xxhash64("doc_id"), "doc_id").limit(model.max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row a doc_id, the one of least text, so that the rows sent to the driver are bounded whatever repeats.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("q").alias("q"))
     bits = model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, model: QualityModel = Qualit
             )
 
     table = sample.select("doc_id", "text", F.col("q").cast("int").alias("q")).mapInArrow(run, "doc_id bigint, q int, index array<int>, value array<float>").toArrow()
-    rows = sorted(zip(table["doc_id"].to_pylist(), range(table.num_rows)))[: model.max_rows]
+    rows = sorted(zip(table["doc_id"].to_pylist(), range(table.num_rows)))
     index, value, q = table["index"].combine_chunks(), table["value"].combine_chunks(), table["q"].to_pylist()
     picked = [(index[i].values.to_numpy(), value[i].values.to_numpy()) for _, i in rows]
     return FactorisationMachine.fit(picked, np.array([q[i] for _, i in rows], np.float32), model)
