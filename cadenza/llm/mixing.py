@@ -22,9 +22,9 @@ def n_words(text: Column) -> Column:
     return F.length(t).cast("long")
 
 
-def draw_key(doc_id: Column, seed: int) -> Column:
-    """A random-looking key of 32 hexadecimal digits that any engine can compute again."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def draw_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A random-looking key of 32 hexadecimal digits that any engine can compute again; rows without an id go by their text."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit(""))))), F.lit(f":{seed}")))
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS) -> dict:
@@ -52,8 +52,13 @@ def _ranges(key: Column, n_ranges: Column) -> Column:
     return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * n_ranges).cast("int")
 
 
-def mix_sizes(sizes: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``sizes`` (doc_id, source, size) with source_size, target, budget, before (words of the source's earlier keys), taken.
+def document_sizes(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, key), stored."""
+    return materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw_key(F.col("doc_id"), F.col("text"), seed).alias("key")))
+
+
+def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """``sizes`` (doc_id, source, size, key) with source_size, target, budget, before (words of the source's earlier keys), taken.
 
     Each source takes whole epochs of its words and, for the rest of its budget (its target in whole words), the
     documents of lowest key, the last one in part. Within a source rows are dealt to key ranges of about RANGE_ROWS
@@ -68,7 +73,6 @@ def mix_sizes(sizes: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2,
     side = F.broadcast(table) if len(plan) <= MAX_LITERAL_SOURCES else table
     same = sizes["source"].eqNullSafe(side["source"])
     df = sizes.join(side, same).drop(side["source"])
-    df = df.withColumn("key", draw_key(F.col("doc_id"), seed))
     df = df.withColumn("range", _ranges(F.col("key"), F.col("n_ranges")))
     sums = df.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,8 +91,7 @@ def mix_sizes(sizes: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2,
 
 def mix_documents(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target and taken. Null texts have size 0; nothing is dropped."""
-    sizes = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    return mix_sizes(sizes, seed, weights)
+    return mix_sizes(document_sizes(docs, seed), weights)
 
 
 def mixed_rows(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -97,8 +100,7 @@ def mixed_rows(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2,
     A source's cut is one key: all documents below it get one epoch more. So the documents, with their texts, are not
     shuffled; only the keys' ranges around the cuts are sorted. Documents of equal doc_id and source share a key.
     """
-    sizes = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    mixed = mix_sizes(sizes, seed, weights)
+    mixed = mix_sizes(document_sizes(docs, seed), weights)
     whole = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.lit(0))
     mixed = mixed.withColumn("times", whole.cast("int"))
     # The most times of a source, and the last key that has them; below stands the least number of times.
@@ -108,5 +110,5 @@ def mixed_rows(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2,
     side = F.broadcast(table) if len(cuts) <= MAX_LITERAL_SOURCES else table
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     joined = rows.join(side, F.col("row.source").eqNullSafe(F.col("cut_source")))
-    times = F.when(draw_key(F.col("row.doc_id"), seed) <= F.col("cut"), F.col("most")).otherwise(F.col("least"))
+    times = F.when(draw_key(F.col("row.doc_id"), F.col("row.text"), seed) <= F.col("cut"), F.col("most")).otherwise(F.col("least"))
     return joined.withColumn("times", times).select(F.inline(F.array_repeat("row", F.col("times"))))

@@ -65,7 +65,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return format_conversations(rows, vocabulary("byte_bpe_50k.json"))
+    found = format_conversations(rows, vocabulary("byte_bpe_50k.json"))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
