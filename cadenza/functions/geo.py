@@ -37,6 +37,11 @@ def bearing_difference(a: str, b: str) -> str:
     return f"(CASE WHEN {d} > 180e0 THEN 360e0 - {d} ELSE {d} END)"
 
 
+def compass(distance: str, course: str) -> str:
+    """One of four directions by a bearing; unknown below ten metres."""
+    return f"(CASE WHEN {distance} < 1e1 THEN 'unknown' WHEN {course} >= 315e0 OR {course} < 45e0 THEN 'north' WHEN {course} < 135e0 THEN 'east' WHEN {course} < 225e0 THEN 'south' ELSE 'west' END)"
+
+
 def metres_per_degree_lon(lat: str) -> str:
     return f"(111320e0 * cos(radians({lat})))"
 

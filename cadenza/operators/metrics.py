@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from cadenza.functions import geo
+from cadenza.operators.folds import folded, metres
 
 # Bins by lower bound; zones are ratios to the threshold power or the maximal heart rate.
 SPEED_BINS = (("0-10 km/h", 0.0), ("10-20 km/h", 10.0), ("20-30 km/h", 20.0), ("30-40 km/h", 30.0), (">40 km/h", 40.0))
@@ -32,12 +33,18 @@ def _r(x: str, alias: str):
 def gps_quality_filter(points: DataFrame, max_speed: float = 110, max_power: int = 1500, leap_m: float = 500, leap_s: float = 5, implied: float = 120) -> DataFrame:
     """Points that pass the fixed limits and do not leap from the last kept point: a fold, since that point may be any earlier one."""
     ok = points.where("lat <> 0 and lon <> 0").where((F.coalesce("speed_kmh", F.lit(0.0)) <= max_speed) & (F.coalesce("power", F.lit(0)) <= max_power))
-    rows = ok.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.expr("unix_micros(cast(ts as timestamp)) / 1e6").alias("s"), "lat", "lon"))).alias("p"))
-    d = geo.haversine("acc.lat", "acc.lon", "x.lat", "x.lon")
-    bad = f"(({d} > {leap_m} and x.s - acc.s < {leap_s}) or (x.s > acc.s and {d} / (x.s - acc.s) * 3.6D > {implied}))"
-    fold = f"""aggregate(p, named_struct('lat', cast(null as double), 'lon', cast(null as double), 's', cast(null as double), 'kept', cast(array() as array<bigint>)),
-      (acc, x) -> if(acc.lat is not null and {bad}, acc, named_struct('lat', x.lat, 'lon', x.lon, 's', cast(x.s as double), 'kept', concat(acc.kept, array(cast(x.idx as bigint))))), acc -> acc.kept)"""
-    return rows.select("session_id", F.explode(F.expr(fold)).alias("idx"))
+    rows = ok.select("session_id", "idx", F.expr("unix_micros(cast(ts as timestamp)) / 1e6").alias("s"), "lat", "lon")
+
+    def step(state, row):
+        _, s, lat, lon = row
+        if state is not None:
+            d, dt = metres(state[1], state[2], lat, lon), s - state[0]
+            if (d > leap_m and dt < leap_s) or (dt > 0 and d / dt * 3.6 > implied):
+                return state, False
+        return (s, lat, lon), True
+
+    kept = folded(rows, "session_id", "idx", step, "kept boolean")
+    return kept.where("kept").select("session_id", "idx")
 
 
 def heading_vectors(points: DataFrame) -> DataFrame:
@@ -62,18 +69,32 @@ def ride_distance(points: DataFrame) -> DataFrame:
     return df.groupBy("session_id").agg(F.round(F.coalesce(F.sum(F.expr(geo.haversine("a", "b", "lat", "lon"))), F.lit(0.0)) / 1000, 6).alias("distance_km"), F.count(F.lit(1)).alias("n_points"))
 
 
+def _micros(ts: str = "ts"):
+    return F.expr(f"unix_micros(cast({ts} as timestamp))")
+
+
 def ride_duration(points: DataFrame) -> DataFrame:
     """Whole seconds from the first to the last point."""
-    s = F.expr("unix_micros(cast(ts as timestamp))")
-    return points.withColumn("m", s).groupBy("session_id").agg(F.floor((F.max("m") - F.min("m")) / 1e6).cast("long").alias("total_sec"))
+    return points.withColumn("m", _micros()).groupBy("session_id").agg(F.floor((F.max_by("m", "idx") - F.min_by("m", "idx")) / 1e6).cast("long").alias("total_sec"))
+
+
+def net_duration(points: DataFrame, events: DataFrame) -> DataFrame:
+    """Whole seconds of a ride without its pauses, never negative."""
+    df = ride_duration(points).join(pause_duration(events), "session_id", "left")
+    return df.select("session_id", "total_sec", F.greatest(F.lit(0), F.col("total_sec") - F.coalesce("pause_sec", F.lit(0))).cast("long").alias("net_sec"))
 
 
 def pause_duration(events: DataFrame) -> DataFrame:
-    """Seconds from each first stop to the next start; a stop without a start does not count."""
+    """Seconds from each first stop (``stop`` or ``stop_all``) to the next start; a stop without a start does not count."""
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    df = events.withColumn("m", F.expr("unix_micros(cast(ts as timestamp))")).withColumn("was", F.lag("kind", 1, "start").over(w)).where("kind <> was")
+    df = events.withColumn("m", _micros()).withColumn("rests", F.col("kind").isin("stop", "stop_all")).withColumn("was", F.lag("rests", 1, False).over(w)).where("rests <> was")
     df = df.withColumn("next", F.lead("m").over(w))
-    return df.groupBy("session_id").agg(F.coalesce(F.sum(F.when(F.col("kind") == "stop", F.floor((F.col("next") - F.col("m")) / 1e6))), F.lit(0)).cast("long").alias("pause_sec"))
+    return df.groupBy("session_id").agg(F.coalesce(F.sum(F.when(F.col("rests"), F.floor((F.col("next") - F.col("m")) / 1e6))), F.lit(0)).cast("long").alias("pause_sec"))
+
+
+def has_power(points: DataFrame, least: float = 0.1) -> DataFrame:
+    """Whether at least so large a share of a ride's points has power."""
+    return points.groupBy("session_id").agg((F.count("power") >= F.lit(least) * F.count(F.lit(1))).alias("has_power"))
 
 
 def histogram(points: DataFrame, value: str, bins, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -200,21 +221,48 @@ def _islands(rows: DataFrame, gap: int) -> DataFrame:
     return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(_order()))
 
 
-def intervals(points: DataFrame, ftp: float = 150, window: int = 15, rest: int = 15, least: int = 20) -> DataFrame:
+def intervals(points: DataFrame, ftp: float = 150, window: int = 15, rest: int = 15, least: int = 120) -> DataFrame:
     """Stretches whose rolling power stays above 95 % of the threshold, with rests of at most ``rest`` samples.
 
-    Each ends window - 1 samples behind its last high mean; it stands if its length times its intensity reaches ``least``.
+    Each ends window - 1 samples behind its last high mean; it stands if its length times its intensity reaches
+    ``least``. Power, work, way and speed of a stretch are differences of running sums, so long stretches cost no more
+    than short ones. Its direction is that of its ends; its track has six decimals.
     """
     hot = rolling_power(points, window).where(F.col("rolling") > 0.95 * ftp)
     spans = _islands(hot, rest + 1).groupBy("session_id", "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("last"))
     ends = points.groupBy("session_id").agg(F.max("idx").alias("top"))
-    spans = spans.join(ends, "session_id").select("session_id", "island", "start_idx", F.least(F.col("last") + window - 1, F.col("top")).alias("end_idx"))
-    running = points.select("session_id", "idx", F.sum(F.coalesce("power", F.lit(0)).cast("long")).over(_order()).alias("work"), F.coalesce("power", F.lit(0)).cast("long").alias("p"))
-    a = running.select("session_id", F.col("idx").alias("start_idx"), (F.col("work") - F.col("p")).alias("w0"))
-    b = running.select("session_id", F.col("idx").alias("end_idx"), F.col("work").alias("w1"))
-    out = spans.join(a, ["session_id", "start_idx"]).join(b, ["session_id", "end_idx"]).withColumn("n", F.col("end_idx") - F.col("start_idx") + 1)
-    out = out.withColumn("mean", F.expr("cast(w1 - w0 as double) / n"))
-    return out.where(F.col("n") * (F.col("mean") / ftp) >= least).select("session_id", "start_idx", "end_idx", F.expr(geo.half_up("mean")).alias("avg_power"), F.expr(f"cast(n * ({geo.half_up('mean')} / {geo.number(ftp)}) as int)").alias("normalized_sec"))
+    spans = spans.join(ends, "session_id").select("session_id", "start_idx", F.least(F.col("last") + window - 1, F.col("top")).alias("end_idx"))
+    o = _order()
+    step = F.coalesce(F.expr(geo.haversine("a", "b", "lat", "lon")), F.lit(0.0))
+    df = points.withColumn("a", F.lag("lat").over(o)).withColumn("b", F.lag("lon").over(o)).withColumn("p", F.coalesce("power", F.lit(0)).cast("long")).withColumn("step", step)
+    df = df.withColumn("v", F.coalesce("speed_kmh", F.lit(0.0))).withColumn("k", F.col("speed_kmh").isNotNull().cast("int"))
+    running = df.select("session_id", "idx", "lat", "lon", _micros().alias("m"), "p", "v", "k", "step", *[F.sum(x).over(o).alias(f"s_{x}") for x in ("p", "v", "k", "step")])
+    first = running.selectExpr("session_id", "idx as start_idx", "s_p - p as p0", "s_v - v as v0", "s_k - k as k0", "s_step as d0", "m as m0", "lat as start_lat", "lon as start_lon")
+    last = running.selectExpr("session_id", "idx as end_idx", "s_p as p1", "s_v as v1", "s_k as k1", "s_step as d1", "m as m1", "lat as end_lat", "lon as end_lon")
+    out = spans.join(first, ["session_id", "start_idx"]).join(last, ["session_id", "end_idx"]).withColumn("n", F.expr("end_idx - start_idx + 1")).withColumn("mean", F.expr("cast(p1 - p0 as double) / n"))
+    out = out.where(F.col("n") * (F.col("mean") / ftp) >= least).withColumn("avg_power", F.expr(geo.half_up("mean"))).withColumn("duration_sec", F.expr("cast(greatest(floor((m1 - m0) / 1e6), n) as int)"))
+    out = out.withColumn("distance", F.expr("d1 - d0")).withColumn("speed", F.expr("CASE WHEN k1 > k0 THEN (v1 - v0) / (k1 - k0) ELSE 0e0 END"))
+    tenth = lambda x: f"cast({geo.half_up(f'{x} * 1e1')} as double) / 1e1"
+    return out.selectExpr("session_id", "start_idx", "end_idx", "duration_sec", "avg_power", f"cast(duration_sec * avg_power / {geo.number(ftp)} as int) AS normalized_sec", "round(distance, 4) AS distance_m", f"{tenth('speed')} AS speed_kmh",
+                          f"CASE WHEN avg_power > 0 THEN {tenth(f'(speed / avg_power * {geo.number(ftp)})')} ELSE 0e0 END AS normalized_kmh", f"{geo.compass('distance', geo.bearing('start_lat', 'start_lon', 'end_lat', 'end_lon'))} AS direction")
+
+
+def interval_tracks(points: DataFrame, found: DataFrame) -> DataFrame:
+    """(session_id, start_idx, idx, lat, lon): the points of each interval, to six decimals; bounded by a range join within the ride."""
+    spans = found.select("session_id", "start_idx", "end_idx")
+    return points.join(spans, "session_id").where("idx between start_idx and end_idx").select("session_id", "start_idx", "idx", *[F.round(c, 6).alias(c) for c in ("lat", "lon")])
+
+
+def pauses_between(found: DataFrame) -> DataFrame:
+    """(session_id, start_idx, pause_sec): time from the interval before to each one, where there is some (start_sec, duration_sec)."""
+    w = Window.partitionBy("session_id").orderBy("start_idx")
+    df = found.withColumn("pause_sec", (F.col("start_sec") - F.lag(F.col("start_sec") + F.col("duration_sec")).over(w)).cast("long"))
+    return df.where("pause_sec > 0").select("session_id", "start_idx", "pause_sec")
+
+
+def interval_totals(found: DataFrame) -> DataFrame:
+    """(session_id, n, total_sec, avg_power): the summary of a ride's intervals; the mean of their powers is cut off."""
+    return found.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_sec").cast("long").alias("total_sec"), F.expr("cast(avg(avg_power) as int)").alias("avg_power"))
 
 
 def sprints(points: DataFrame, ftp: float = 150, factor: float = 1.33) -> DataFrame:
@@ -239,17 +287,42 @@ def cumulative(points: DataFrame) -> DataFrame:
     return df.select("session_id", "idx", "c", "e", "w", F.lag("c").over(_order()).alias("pc"), F.lag("e").over(_order()).alias("pe"), F.lag("w").over(_order()).alias("pw"))
 
 
+#: Distances of best splits in metres, and durations of best powers in seconds.
+SPLITS_M, DURATIONS_S = (25_000, 50_000, 100_000), (1, 5, 10, 20, 60, 300, 600, 1200, 1800)
+
+
+def best_splits(points: DataFrame, metres: tuple[float, ...] = SPLITS_M) -> DataFrame:
+    """(session_id, metres, best_sec): least time to cover each distance from any sample, interpolated at the end.
+
+    One pass: a descending frame for each distance, all over the same sort, finds each sample's end in linear time.
+    Rides shorter than a distance have no row for it.
+    """
+    df = cumulative(points)
+    for i, m in enumerate(metres):
+        df = df.withColumn(f"x{i}", F.expr(f"min(struct(c, idx, e, pc, pe)) over (partition by session_id order by c desc range between unbounded preceding and {m:.1f}D preceding)"))
+    time = lambda i, m: F.expr(f"min(case when x{i}.c > x{i}.pc then x{i}.pe + ({m:.1f}D + c - x{i}.pc) / (x{i}.c - x{i}.pc) * (x{i}.e - x{i}.pe) else x{i}.e end - e)").alias(f"b{i}")
+    per = df.groupBy("session_id").agg(*[time(i, m) for i, m in enumerate(metres)])
+    stack = ", ".join(f"{m:.1f}D, b{i}" for i, m in enumerate(metres))
+    return per.selectExpr("session_id", f"stack({len(metres)}, {stack}) as (metres, b)").where("b is not null").selectExpr("session_id", "metres", "round(b, 6) as best_sec")
+
+
 def best_split(points: DataFrame, metres: float) -> DataFrame:
-    """Least time to cover ``metres`` from any sample, interpolated at the end; a descending frame finds each end in linear time."""
-    frame = f"(partition by session_id order by c desc range between unbounded preceding and {metres:.1f}D preceding)"
-    df = cumulative(points).withColumn("x", F.expr(f"min(struct(c, idx, e, pc, pe)) over {frame}")).where("x is not null")
-    t = f"case when x.c > x.pc then x.pe + ({metres:.1f}D + c - x.pc) / (x.c - x.pc) * (x.e - x.pe) else x.e end - e"
-    return df.groupBy("session_id").agg(_r(f"min({t})", "best_sec")).select("session_id", F.lit(float(metres)).alias("metres"), "best_sec")
+    return best_splits(points, (metres,))
+
+
+def best_powers(points: DataFrame, seconds: tuple[float, ...] = DURATIONS_S) -> DataFrame:
+    """(session_id, seconds, watts): greatest mean power over each duration from any sample, to whole watts; null where all power is 0.
+
+    One pass as for ``best_splits``. Rides shorter than a duration have no row for it.
+    """
+    df = cumulative(points)
+    for i, t in enumerate(seconds):
+        df = df.withColumn(f"x{i}", F.expr(f"min(struct(e, idx, w, pe, pw)) over (partition by session_id order by e desc range between unbounded preceding and {t:.1f}D preceding)"))
+    mean = lambda i, t: F.expr(f"max((case when x{i}.e > x{i}.pe then x{i}.pw + (x{i}.w - x{i}.pw) * ((e + {t:.1f}D - x{i}.pe) / (x{i}.e - x{i}.pe)) else x{i}.w end - w) / {t:.1f}D)").alias(f"b{i}")
+    per = df.groupBy("session_id").agg(*[mean(i, t) for i, t in enumerate(seconds)])
+    stack = ", ".join(f"{t:.1f}D, b{i}" for i, t in enumerate(seconds))
+    return per.selectExpr("session_id", f"stack({len(seconds)}, {stack}) as (seconds, b)").where("b is not null").selectExpr("session_id", "seconds", f"case when b > 0 then {geo.half_up('round(b, 6)')} end as watts")
 
 
 def best_power(points: DataFrame, seconds: float) -> DataFrame:
-    """Greatest mean power over ``seconds`` from any sample; null where all power is 0."""
-    frame = f"(partition by session_id order by e desc range between unbounded preceding and {seconds:.1f}D preceding)"
-    df = cumulative(points).withColumn("x", F.expr(f"min(struct(e, idx, w, pe, pw)) over {frame}")).where("x is not null")
-    got = f"(case when x.e > x.pe then x.pw + (x.w - x.pw) * ((e + {seconds:.1f}D - x.pe) / (x.e - x.pe)) else x.w end - w) / {seconds:.1f}D"
-    return df.groupBy("session_id").agg(F.round(F.expr(f"max({got})"), 6).alias("v")).select("session_id", F.lit(float(seconds)).alias("seconds"), F.expr("case when v > 0 then v end").alias("watts"))
+    return best_powers(points, (seconds,))

@@ -256,7 +256,8 @@ def map_match(points: DataFrame, chunks: DataFrame, edges: DataFrame, nodes: Dat
 
 def match_coverage(points: DataFrame, chunks: DataFrame, matched: DataFrame, step_m: str) -> DataFrame:
     """(session_id, distance_m, matched_m, percent): the share of each track's length in chunks with a match; ``step_m`` is the length up to a point."""
-    size = points.withColumn("_m", F.expr(step_m)).join(chunks, ["session_id", "idx"]).groupBy("session_id", "chunk").agg(F.sum("_m").alias("m"))
+    own = chunks.groupBy("session_id", "idx").agg(F.min("chunk").alias("chunk"))  # the point where chunks meet ends the earlier one
+    size = points.withColumn("_m", F.expr(step_m)).join(own, ["session_id", "idx"]).groupBy("session_id", "chunk").agg(F.sum("_m").alias("m"))
     hit = matched.select("session_id", "chunk").distinct().withColumn("hit", F.lit(1))
     rows = size.join(hit, ["session_id", "chunk"], "left").groupBy("session_id").agg(F.sum("m").alias("distance_m"), F.sum(F.when(F.col("hit") == 1, F.col("m")).otherwise(0.0)).alias("matched_m"))
     return rows.withColumn("percent", F.expr("coalesce(least(1e2, greatest(0e0, matched_m / distance_m * 1e2)), 0e0)"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import text
+from cadenza.operators import tracks
 
 FIT_EPOCH = 631065600
 SEMICIRCLE = 180.0 / 2**31
@@ -157,7 +158,7 @@ def _gpx_rows(path: str, data: bytes) -> list[tuple]:
         if pts:
             break
     if not pts:
-        raise ValueError("GPX file contains no track or route points")
+        raise ValueError("no usable point in this GPX document")
 
     def names(*where: str) -> list[str]:
         return [t for t in ((e.text or "").strip() for e in _under(root, *where, "name")) if t]
@@ -171,6 +172,49 @@ def read_gpx(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_decoded(TRACKS, _gpx_rows), TRACKS)
 
 
+def gpx_of_edges(edges: DataFrame, time: str) -> DataFrame:
+    """(route, gpx): the polylines of roads (route, seq, encoded), decoded and joined in order, as GPX 1.1 documents."""
+    lines = edges.select(F.struct("route", "seq").alias("edge"), "encoded")
+    keyed = lines.selectExpr("xxhash64(edge) as id", "edge", "encoded")
+    points = tracks.decode_polylines(keyed.select("id", "encoded")).join(keyed.select("id", "edge"), "id")
+    rows = points.selectExpr("edge.route as route", "concat('route ', edge.route) as _name", "struct(edge.seq as edge, seq) as _at", "lat", "lon")
+    return gpx_documents(rows, "route", "_name", "_at", time)
+
+
+#: A definition of record messages with all fields that are read, and its number of bytes.
+_LAYOUT = bytes([0x40, 0, 0]) + struct.pack("<HB", RECORD, 7) + bytes([TIMESTAMP, 4, 0x86, 0, 4, 0x85, 1, 4, 0x85, 6, 2, 0x84, 7, 2, 0x84, 3, 1, 0x02, 2, 2, 0x84])
+
+
+def fit_checksum(data: bytes) -> int:
+    """The 16-bit checksum of FIT files: a cyclic redundancy check of polynomial 0x8005, low bits first."""
+    value = 0
+    for byte in data:
+        value ^= byte
+        for _ in range(8):
+            value = value >> 1 ^ 0xA001 if value & 1 else value >> 1
+    return value
+
+
+def fit_documents(records: DataFrame, key: str) -> DataFrame:
+    """(path, content): each key's records (idx, s, y, x in semicircles, power, heart_rate, v in mm/s, h in fifths of a metre above -500) as a FIT file; one row holds one ride."""
+    rows = records.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "s", "y", "x", "v", "power", "heart_rate", "h"))).alias("r")).selectExpr(f"cast({key} as string) as path", "r")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for records_ in batch["r"]:
+                body = bytearray(_LAYOUT)
+                for r in records_:
+                    v, p, hr, h = (default if x is None or x != x else int(x) for x, default in ((r["v"], 0xFFFF), (r["power"], 0xFFFF), (r["heart_rate"], 0xFF), (r["h"], 0xFFFF)))
+                    body += b"\0" + struct.pack("<IiiHHBH", int(r["s"]), int(r["y"]), int(r["x"]), v, p, hr, h)
+                head = struct.pack("<BBHI4s", 14, 0x10, 100, len(body), b".FIT")
+                head += struct.pack("<H", fit_checksum(head))
+                out.append(head + bytes(body) + struct.pack("<H", fit_checksum(head + bytes(body))))
+            yield pd.DataFrame({"path": batch["path"], "content": out})
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
 def gpx_documents(tracks: DataFrame, key: str, name: str, order: str, time: str, creator: str = "cadenza") -> DataFrame:
     """(key, gpx): each track's points (lat, lon, by ``order``) as a GPX 1.1 document. One row holds one track."""
     pts = F.sort_array(F.collect_list(F.struct(order, "lat", "lon")))
