@@ -152,6 +152,63 @@ def escape_xml(text: str) -> str:
     return text
 
 
+def ride_date(ts: str) -> str:
+    """Spark SQL: a date as Mon, 05 Jan 2026."""
+    return f"date_format({ts}, 'EEE, dd MMM yyyy')"
+
+
+def file_base(name: str, day: str) -> str:
+    """Spark SQL: a file name from a day (yymmdd) and a route's name, of which other characters than letters, digits, blanks, _ and - become _."""
+    safe = f"trim(regexp_replace({name}, '[^A-Za-z0-9 _-]', '_'))"
+    return f"({day} || '_' || CASE WHEN {safe} = '' THEN 'route' ELSE {safe} END)"
+
+
+def ride_summary(km: str, sec: str, watts: str, intervals: str) -> str:
+    """Distance, duration, power where there is some, and the number of intervals if there are any."""
+    return f"({fixed(km, 1)} || ' km | ' || {duration(sec)} || coalesce(' | ' || {whole(watts)} || ' W', '') || CASE WHEN {intervals} > 0 THEN ' | ' || {whole(intervals)} || ' intervals' ELSE '' END)"
+
+
+def icon_key(category: str) -> str:
+    """The category whose icon is shown."""
+    return f"(CASE WHEN {category} = 'friture' THEN 'fast_food' ELSE {category} END)"
+
+
+def rounded_bounds(low: str, high: str, step: float = 10.0) -> tuple[str, str]:
+    """Bounds of an axis, rounded outwards to whole steps."""
+    q = geo.number(step)
+    return f"(floor({low} / {q}) * {q})", f"(ceil({high} / {q}) * {q})"
+
+
+#: Steps between whole-number ticks.
+TICK_STEPS = (1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500, 1000)
+
+
+def tick_step(low: str, high: str, most: int = 4) -> str:
+    """The least step that parts a range into at most so many; the largest if none does, 1 for no range."""
+    cases = " ".join(f"WHEN ({high} - {low}) / {s}e0 <= {most} THEN {s}" for s in TICK_STEPS)
+    return f"(CASE WHEN {high} <= {low} THEN 1 {cases} ELSE {TICK_STEPS[-1]} END)"
+
+
+def integer_ticks(low: str, high: str, most: int = 4) -> str:
+    """Spark SQL: whole multiples of the step within a range, in order; its middle if there is none."""
+    step = tick_step(low, high, most)
+    first, last = f"cast(ceil({low} / {step}) as bigint)", f"cast(floor(({high} + {step} * 1e-4) / {step}) as bigint)"
+    return f"(CASE WHEN {first} <= {last} THEN transform(sequence({first}, greatest({first}, {last})), k -> cast(k * {step} as double)) ELSE array(({low} + {high}) / 2e0) END)"
+
+
+def count_axis(most: str) -> str:
+    """The top of an axis of counts: the next multiple of five, five at least."""
+    return f"(CASE WHEN {most} = 0 THEN 5 ELSE ({most} + 4) div 5 * 5 END)"
+
+
+def cardiac(value: str) -> str:
+    return f"({fixed(value, 2)} || ' W/bpm')"
+
+
+def speed(kmh: str) -> str:
+    return f"({fixed(kmh, 1)} || ' km/h')"
+
+
 def decimal_comma(text: str) -> str:
     return f"try_cast(replace({text}, ',', '.') AS DOUBLE)"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cadenza.functions import geo
 from cadenza.functions import text as x
 from cadenza.plans.registry import register
 
@@ -42,3 +43,17 @@ HOURS = [
 PICK = f"CAST(id % {len(HOURS)} AS INT)"
 register("opening_hours", lambda p: p.selectExpr("id", f"array({', '.join(f'{chr(39)}{h}{chr(39)}' for h, _ in HOURS)})[{PICK}] AS hours").selectExpr("id", "hours", f"{x.is_open('hours', 3, 13 * 60 + 30)} AS is_open"), "pois",
   f"SELECT id, CASE {PICK} {' '.join(f'WHEN {i} THEN {chr(39)}{h}{chr(39)}' for i, (h, _) in enumerate(HOURS))} END AS hours, CASE {PICK} {' '.join(f'WHEN {i} THEN {v}' for i, (_, v) in enumerate(HOURS))} END AS is_open FROM pois")
+
+# Written out by hand for the other engine.
+register("format_dates", lambda s: s.selectExpr("session_id", f"{x.ride_date('session_start')} AS shown"), S, "SELECT session_id, strftime(session_start, '%a, %d %b %Y') AS shown FROM sessions")
+register("gpx_names", lambda p: p.selectExpr("p_partkey", x.file_base("p_name || '/' || p_type || ' '", "'260105'") + " AS file"), "part", "SELECT p_partkey, '260105_' || trim(regexp_replace(p_name || '/' || p_type || ' ', '[^-A-Za-z0-9 _]', '_', 'g')) AS file FROM part")
+register("ride_summaries", lambda s: s.selectExpr("session_id", f"{x.ride_summary(KM, SEC, 'average_power', 'session_id % 3')} AS summary"), S, """SELECT session_id, CAST(CAST(CAST(distance_km AS VARCHAR) AS DECIMAL(30, 1)) AS VARCHAR) || ' km | ' || CASE WHEN net_duration_sec >= 3600 THEN concat(net_duration_sec // 3600, 'h ', net_duration_sec // 60 % 60, 'm') WHEN net_duration_sec >= 60 THEN concat(net_duration_sec // 60, 'm ', net_duration_sec % 60, 's') ELSE concat(greatest(net_duration_sec, 0), 's') END
+  || CASE WHEN average_power IS NULL THEN '' ELSE concat(' | ', average_power, ' W') END || CASE session_id % 3 WHEN 0 THEN '' ELSE concat(' | ', session_id % 3, ' intervals') END AS summary FROM sessions""")
+register("poi_icons", lambda e: e.selectExpr("event_id", x.icon_key("replace(event_type, 'click', 'friture')") + " AS icon"), "events", "SELECT event_id, CASE event_type WHEN 'click' THEN 'fast_food' ELSE event_type END AS icon FROM events")
+LOW, HIGH = "(distance_km / 3e0 - 20e0)", "(distance_km / 3e0 - 20e0 + session_id % 97 / 4e0)"
+register("axis_ticks", lambda s: s.selectExpr("session_id", f"array_join(transform({x.integer_ticks(LOW, HIGH)}, v -> cast(round(v, 6) as string)), ' ') AS ticks", f"{x.rounded_bounds(LOW, HIGH)[0]} AS low", f"{x.rounded_bounds(LOW, HIGH)[1]} AS high", f"cast({x.count_axis('session_id % 23')} as int) AS top"), S,
+  f"""WITH r AS (SELECT session_id, {LOW} AS a, {HIGH} AS b FROM sessions), s AS (SELECT *, coalesce(list_filter([1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500, 1000], lambda v: (b - a) / v <= 4)[1], 1000) AS st FROM r)
+  SELECT session_id, CASE WHEN ceil(a / st) * st <= b + st * 1e-4 THEN array_to_string(list_transform(generate_series(CAST(ceil(a / st) AS BIGINT), CAST(floor((b + st * 1e-4) / st) AS BIGINT)), lambda k: CAST(CAST(k * st AS DOUBLE) AS VARCHAR)), ' ') ELSE CAST(round((a + b) / 2, 6) AS VARCHAR) END AS ticks,
+  floor(a / 10) * 10 AS low, ceil(b / 10) * 10 AS high, greatest(5, CAST(ceil(session_id % 23 / 5e0) * 5 AS INT)) AS top FROM s""")
+register("direction_compass", lambda n: n.selectExpr("id", f"{geo.compass('(id % 20 * 1e0)', '((id * 7 % 360) * 1e0)')} AS direction"), "map_nodes", "SELECT id, CASE WHEN id % 20 < 10 THEN 'unknown' ELSE ['north', 'east', 'south', 'west'][1 + (id * 7 % 360 + 45) // 90 % 4] END AS direction FROM map_nodes")
+register("format_speeds", lambda s: s.selectExpr("session_id", f"{x.speed(f'({KM} / 7e0)')} AS speed", f"{x.cardiac(f'({KM} / 111e0)')} AS cardiac"), S, "SELECT session_id, CAST(CAST(CAST(distance_km / 7e0 AS VARCHAR) AS DECIMAL(30, 1)) AS VARCHAR) || ' km/h' AS speed, CAST(CAST(CAST(distance_km / 111e0 AS VARCHAR) AS DECIMAL(30, 2)) AS VARCHAR) || ' W/bpm' AS cardiac FROM sessions")

@@ -113,14 +113,14 @@ register("polyline_round_trip", lambda p: tracks.decode_polylines(tracks.encode_
   "SELECT session_id AS id, idx AS seq, round(floor(lat * 1e5 + 0.5e0) / 1e5, 5) AS lat, round(floor(lon * 1e5 + 0.5e0) / 1e5, 5) AS lon FROM ride_points")
 LINES = {"_p~iF~ps|U_ulLnnqC_mqNvxq`@": [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)], "": [], "??": [(0.0, 0.0)], "_ibE_ibE": [(1.0, 1.0)]}
 register("polyline_decode", lambda p: tracks.decode_polylines(p.selectExpr("id", "element_at(array(" + ", ".join(f"'{x}'" for x in LINES) + "), cast(id % 4 as int) + 1) as encoded")), "pois",
-  "SELECT id, CAST(seq AS INT) AS seq, lat, lon FROM pois JOIN (VALUES " + ", ".join(f"({k}, {i}, {a}e0, {b}e0)" for k, x in enumerate(LINES.values()) for i, (a, b) in enumerate(x)) + ") v(k, seq, lat, lon) ON k = id % 4")
+  "SELECT id, CAST(seq AS INT) AS seq, v.lat, v.lon FROM pois JOIN (VALUES " + ", ".join(f"({k}, {i}, {a}e0, {b}e0)" for k, x in enumerate(LINES.values()) for i, (a, b) in enumerate(x)) + ") v(k, seq, lat, lon) ON k = id % 4")
 TEXTS = ["[[1.5, 2.5], [3, 4, 5], [6]]", "no json", "[]", "[[7.25, 8.125]]"]
 register("track_json", lambda p: tracks.parse_tracks(p.selectExpr("id", "element_at(array(" + ", ".join(f"'{x}'" for x in TEXTS) + "), cast(id % 4 as int) + 1) as track")).selectExpr("id", "lat", "lon"), "pois",
-  "SELECT id, lat, lon FROM pois JOIN (VALUES (0, 1.5e0, 2.5e0), (0, 3e0, 4e0), (3, 7.25e0, 8.125e0)) v(k, lat, lon) ON k = id % 4")
+  "SELECT id, v.lat, v.lon FROM pois JOIN (VALUES (0, 1.5e0, 2.5e0), (0, 3e0, 4e0), (3, 7.25e0, 8.125e0)) v(k, lat, lon) ON k = id % 4")
 register("track_json_round_trip", lambda p: tracks.parse_tracks(tracks.tracks_as_json(p.selectExpr("session_id as id", "idx as seq", "lat", "lon"))).selectExpr("id", "cast(seq as bigint) as seq", "lat", "lon"), "ride_points", "SELECT session_id AS id, idx AS seq, lat, lon FROM ride_points")
 GPX = "<gpx><metadata><name>m</name></metadata><trk><name> A </name><trkseg><trkpt lat=\"1.5\" lon=\"2\"><ele>7</ele></trkpt><trkpt lat=\"x\" lon=\"2\"/></trkseg><trkseg><trkpt lat=\"3\" lon=\"4\"/></trkseg></trk></gpx>"
 register("gpx_read", lambda p: files.read_gpx(p.selectExpr("cast(id as string) as path", f"cast(CASE WHEN id % 3 = 0 THEN '<gpx/>' WHEN id % 3 = 1 THEN '<gpx' ELSE '{GPX}' END as binary) as content")).selectExpr("cast(path as bigint) as id", "name", "idx", "lat", "lon", "altitude", "error is not null as failed"), "pois",
-  "SELECT id, name, idx, lat, lon, altitude, failed FROM pois JOIN (VALUES (0, NULL, NULL, NULL, NULL, NULL, TRUE), (1, NULL, NULL, NULL, NULL, NULL, TRUE), (2, 'A', 0, 1.5e0, 2e0, 7e0, FALSE), (2, 'A', 1, 3e0, 4e0, NULL, FALSE)) v(k, name, idx, lat, lon, altitude, failed) ON k = id % 3")
+  "SELECT id, name, CAST(idx AS BIGINT) AS idx, v.lat, v.lon, altitude, failed FROM pois JOIN (VALUES (0, NULL, NULL, NULL, NULL, NULL, TRUE), (1, NULL, NULL, NULL, NULL, NULL, TRUE), (2, 'A', 0, 1.5e0, 2e0, 7e0, FALSE), (2, 'A', 1, 3e0, 4e0, NULL, FALSE)) v(k, name, idx, lat, lon, altitude, failed) ON k = id % 3")
 
 
 def _edge_lines(paths_, nodes):

@@ -163,7 +163,7 @@ def _segments(e, n):
 
 
 register("nearest_edge", lambda e, n, p: t.nearest_segment(p.selectExpr("id", "lat + 9e-1 * (id % 2) as lat", "lon"), _segments(e, n), 400.0).select("id", "seg.*", "distance_m"), "map_edges map_nodes pois",
-  f"""SELECT id, from_node, to_node, round(d, 4) AS distance_m FROM (SELECT p.id, from_node, to_node, {duck.to_segment('p.lat', 'p.lon', 'a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM (SELECT id, lat + 9e-1 * (id % 2) AS lat, lon FROM pois) p CROSS JOIN map_edges JOIN map_nodes a ON a.id = from_node JOIN map_nodes b ON b.id = to_node WHERE to_node > from_node) q
+  f"""SELECT id, from_node, to_node, round(round(d, 6), 4) AS distance_m FROM (SELECT p.id, from_node, to_node, {duck.to_segment('p.lat', 'p.lon', 'a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM (SELECT id, lat + 9e-1 * (id % 2) AS lat, lon FROM pois) p CROSS JOIN map_edges JOIN map_nodes a ON a.id = from_node JOIN map_nodes b ON b.id = to_node WHERE to_node > from_node) q
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 6), from_node, to_node) = 1""")
 register("elevation_profile", t.smoothed_profile, P, f"SELECT session_id, idx, round(s, 4) AS at_m, round(avg(altitude) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS altitude FROM ({ALONG}) q WHERE altitude IS NOT NULL")
 register("elevation_gain_loss", t.gain_loss, P, "SELECT session_id, round(sum(greatest(d, 0e0)), 6) AS gain_m, round(sum(greatest(-d, 0e0)), 6) AS loss_m FROM (SELECT session_id, z - lag(z) OVER (PARTITION BY session_id ORDER BY idx) AS d FROM (SELECT session_id, idx, avg(altitude) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS z FROM ride_points WHERE altitude IS NOT NULL) m) n WHERE d IS NOT NULL GROUP BY 1")
