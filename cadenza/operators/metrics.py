@@ -87,9 +87,10 @@ def net_duration(points: DataFrame, events: DataFrame) -> DataFrame:
 def pause_duration(events: DataFrame) -> DataFrame:
     """Seconds from each first stop (``stop`` or ``stop_all``) to the next start; a stop without a start does not count."""
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    df = events.withColumn("m", _micros()).withColumn("rests", F.col("kind").isin("stop", "stop_all")).withColumn("was", F.lag("rests", 1, False).over(w)).where("rests <> was")
-    df = df.withColumn("next", F.lead("m").over(w))
-    return df.groupBy("session_id").agg(F.coalesce(F.sum(F.when(F.col("rests"), F.floor((F.col("next") - F.col("m")) / 1e6))), F.lit(0)).cast("long").alias("pause_sec"))
+    back = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    df = events.withColumn("m", _micros()).withColumn("rests", F.col("kind").isin("stop", "stop_all")).withColumn("first", F.col("rests") & ~F.lag("rests", 1, False).over(w))
+    df = df.withColumn("next", F.last(F.when(~F.col("rests"), F.col("m")), True).over(back))
+    return df.groupBy("session_id").agg(F.coalesce(F.sum(F.when(F.col("first"), F.floor((F.col("next") - F.col("m")) / 1e6))), F.lit(0)).cast("long").alias("pause_sec"))
 
 
 def has_power(points: DataFrame, least: float = 0.1) -> DataFrame:

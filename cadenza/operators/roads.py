@@ -118,11 +118,11 @@ def aligned(bearing: str, other: str) -> str:
 
 
 def anchor_scores(corridors: DataFrame, lat0: float, lon0: float, ride_bearing: float, reach_m: float, clockwise: bool = True) -> DataFrame:
-    """Corridors (with ends and reward) with along and lateral metres in the frame of the ride, quadrant and score.
+    """Corridors (lat, lon of the centroid, reward) with along and lateral metres in the frame of the ride, quadrant and score.
 
     The frame's axes are the ride's direction and its right (clockwise) or left. Quadrants: 0 ahead on the near side,
-    1 ahead on the far side, 2 and 3 behind. The score is the way along over the reach, half of how well the corridor
-    runs along the bisector of its quadrant, and a tenth of its reward between the least and the greatest.
+    1 ahead on the far side, 2 and 3 behind. The score is the way along over the reach, half of how well the way
+    to it runs along the bisector of its quadrant, and a tenth of its reward between the least and the greatest.
     """
     east, north = to_local("lat", "lon", lat0, lon0)
     turn, side = geo.number(math.radians(ride_bearing)), "1e0" if clockwise else "-1e0"
@@ -131,7 +131,7 @@ def anchor_scores(corridors: DataFrame, lat0: float, lon0: float, ride_bearing:
     bounds = corridors.agg(F.min("reward").alias("low"), F.max("reward").alias("high"))
     tangent = f"({geo.number(ride_bearing)} + {side} * element_at(array(45e0, -45e0, -135e0, 135e0), quadrant + 1))"
     norm = "CASE WHEN high > low THEN (reward - low) / (high - low) ELSE 0e0 END"
-    score = f"along / {geo.number(reach_m)} + 5e-1 * {aligned(geo.bearing('elat', 'elon', 'xlat', 'xlon'), tangent)} + 1e-1 * {norm}"
+    score = f"along / {geo.number(reach_m)} + 5e-1 * {aligned(geo.bearing(geo.number(lat0), geo.number(lon0), 'lat', 'lon'), tangent)} + 1e-1 * {norm}"
     return df.crossJoin(F.broadcast(bounds)).withColumn("score", F.expr(score)).drop("low", "high")
 
 
@@ -154,12 +154,12 @@ def _judged(candidates: DataFrame, target_m: float, band: float, least_compactne
     return df.withColumn("in_shape", (F.col("compactness") >= least_compactness) & (F.col("repeat_fraction") <= most_repeat))
 
 
-def ranked_candidates(candidates: DataFrame, target_m: float, band: float, least_compactness: float = 0.24, most_repeat: float = 0.05) -> DataFrame:
+def ranked_candidates(candidates: DataFrame, target_m: float, band: float, least_compactness: float = 0.26, most_repeat: float = 0.15) -> DataFrame:
     """Loops (id, distance_m, reward, compactness, repeat_fraction): those in the distance band first, then good shapes, then reward."""
     return _judged(candidates, target_m, band, least_compactness, most_repeat).orderBy(F.desc("in_band"), F.desc("in_shape"), F.desc("reward"), "id")
 
 
-def winner(candidates: DataFrame, target_m: float, band: float, least_compactness: float = 0.24, most_repeat: float = 0.05) -> DataFrame:
+def winner(candidates: DataFrame, target_m: float, band: float, least_compactness: float = 0.26, most_repeat: float = 0.15) -> DataFrame:
     """The loop in the band of good shape and highest reward; if none is of good shape, the one of best shape; no row if none is in the band."""
     df = _judged(candidates, target_m, band, least_compactness, most_repeat).where("in_band")
     key = F.when(F.col("in_shape"), F.col("reward")).otherwise(F.round(F.col("compactness") - F.col("repeat_fraction"), 9))

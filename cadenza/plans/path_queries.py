@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import geo
-from cadenza.operators import paths, tracks
+from cadenza.operators import loops, paths, roads, tracks
 from cadenza.plans import duck
 from cadenza.plans.registry import register
 from cadenza.sources import files
@@ -35,6 +35,18 @@ register("plan_loop", lambda e, n: paths.loops(n.selectExpr("id as plan_id", "la
          .selectExpr("plan_id", "place", "round(length_m, 4) as length_m", "round(reward, 4) as reward", "round(repeat_fraction, 6) as repeat_fraction", "round(compactness, 6) as compactness", "array_join(nodes, ',') as nodes"), NG)
 
 
+def _planned(nations, corridors, edges, nodes):
+    """A loop from the grid's node of each nation, in one of four directions or none."""
+    homes = nations.selectExpr("n_nationkey as plan_id", "n_nationkey * 3 + 110 as id", "CASE WHEN n_nationkey % 5 < 4 THEN n_nationkey % 5 * 9e1 END as bearing").join(nodes, "id").selectExpr("plan_id", "lat + 1e-4 as lat", "lon", "20e3 + plan_id % 3 * 5e3 as target_m", "bearing")
+    chains = corridors.selectExpr("id", "entry_node", "exit_node", "length_m", "pedal_reward + gravity_reward as reward", "lat", "lon", "group_id", "sequence(entry_node, exit_node) as nodes")
+    graph = edges.selectExpr("from_node", "to_node", "length_m", "coalesce(pedal_count, 0) + coalesce(gravity_count, 0) as reward", "traversal_count as count")
+    turns = roads.successors(edges).selectExpr("a_from as from_node", "via as junction", "b_to as to_node", "(a_from % 10) / 1e1 as hazard", "(b_to % 4) / 1e1 as stop", "cast(null as double) as braking", "1e0 as energy").where("via % 2 = 0")
+    return loops.planned_loops(homes, chains, graph, nodes, turns)
+
+
+register("planned_loops", lambda n, c, e, m: _planned(n, c, e, m).selectExpr("plan_id", "tier", "round(length_m, 4) as length_m", "round(reward, 4) as reward", "round(repeat_fraction, 6) as repeat_fraction", "round(compactness, 6) as compactness", "round(deviation_percent, 6) as deviation_percent", "array_join(nodes, ',') as nodes", "reason"), "nation corridors map_edges map_nodes")
+
+
 def _round_trip(points):
     docs = files.gpx_documents(points.withColumn("_name", F.expr("'ride ' || session_id")), "session_id", "_name", "idx", "2026-01-01T00:00:00Z")
     back = files.read_gpx(docs.selectExpr("cast(session_id as string) as path", "cast(gpx as binary) as content"))

@@ -41,29 +41,28 @@ register("nearest_corridor", lambda c: c.select("id", F.round(F.expr(DIST), 4).a
 RIDE = 75.0
 
 
-def _anchors(c, n, clockwise):
-    ends = c.join(n.selectExpr("id as entry_node", "lat as elat", "lon as elon"), "entry_node").join(n.selectExpr("id as exit_node", "lat as xlat", "lon as xlon"), "exit_node")
-    scored = g.anchor_scores(ends.withColumn("reward", F.col("pedal_reward") + F.col("gravity_reward")), *HOME, RIDE, 2900.0, clockwise)
+def _anchors(c, clockwise):
+    scored = g.anchor_scores(c.withColumn("reward", F.col("pedal_reward") + F.col("gravity_reward")), *HOME, RIDE, 2900.0, clockwise)
     return g.top_per_group(scored.withColumn("score", F.round("score", 6)), "quadrant", "score", "id", 2).select("quadrant", "id", "score", "place")
 
 
 def _anchor_sql(sign):
     e, n = f"((lon - {HOME[1]}) * 111320 * cos(radians({HOME[0]})))", f"((lat - {HOME[0]}) * 111320)"
     along, side = f"({e} * sin(radians({RIDE})) + {n} * cos(radians({RIDE})))", f"({e} * cos(radians({RIDE})) - {n} * sin(radians({RIDE})))"
-    return f"""WITH q AS (SELECT c.id, {along.replace('lat', 'c.lat').replace('lon', 'c.lon')} AS al, {sign} * {side.replace('lat', 'c.lat').replace('lon', 'c.lon')} AS si, pedal_reward + gravity_reward AS reward, {duck.course('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS head FROM corridors c JOIN map_nodes a ON a.id = entry_node JOIN map_nodes b ON b.id = exit_node),
+    return f"""WITH q AS (SELECT c.id, {along.replace('lat', 'c.lat').replace('lon', 'c.lon')} AS al, {sign} * {side.replace('lat', 'c.lat').replace('lon', 'c.lon')} AS si, pedal_reward + gravity_reward AS reward, {duck.course(str(HOME[0]), str(HOME[1]), 'c.lat', 'c.lon')} AS head FROM corridors c),
   r AS (SELECT *, CASE WHEN al >= 0 THEN CASE WHEN si >= 0 THEN 0 ELSE 1 END WHEN si < 0 THEN 2 ELSE 3 END AS quadrant, min(reward) OVER () AS low, max(reward) OVER () AS high FROM q),
   z AS (SELECT CAST(quadrant AS INT) AS quadrant, id, round(al / 2900e0 + 5e-1 * cos(radians(head - ({RIDE} + {sign} * (CASE quadrant WHEN 0 THEN 45 WHEN 1 THEN -45 WHEN 2 THEN -135 ELSE 135 END)))) + CASE WHEN high > low THEN 1e-1 * (reward - low) / (high - low) ELSE 0 END, 6) AS score FROM r)
   SELECT quadrant, id, score, CAST(row_number() OVER (PARTITION BY quadrant ORDER BY score DESC, id) AS INT) AS place FROM z QUALIFY place <= 2"""
 
 
-register("anchor_topk", lambda c, n: _anchors(c, n, True), "corridors map_nodes", _anchor_sql(1))
-register("anchor_topk_left", lambda c, n: _anchors(c, n, False), "corridors map_nodes", _anchor_sql(-1))
+register("anchor_topk", lambda c: _anchors(c, True), "corridors", _anchor_sql(1))
+register("anchor_topk_left", lambda c: _anchors(c, False), "corridors", _anchor_sql(-1))
 register("fills_between", lambda c, n: g.fills_between(g.with_headings(c, n), (50.62, 5.93), (50.72, 6.02), 0.4).select("id", F.round("t", 6).alias("t")), "corridors map_nodes",
   f"""SELECT id, round(t, 6) AS t FROM (SELECT c.id, ((c.lon - 5.93) * (6.02 - 5.93) * power(cos(radians(50.62)), 2) + (c.lat - 50.62) * (50.72 - 50.62)) / (power((6.02 - 5.93) * cos(radians(50.62)), 2) + power(50.72 - 50.62, 2)) AS t, cos(radians({duck.course('a.lat', 'a.lon', 'b.lat', 'b.lon')} - {duck.course('50.62', '5.93', '50.72', '6.02')})) AS align
   FROM corridors c JOIN map_nodes a ON a.id = entry_node JOIN map_nodes b ON b.id = exit_node) q WHERE t BETWEEN 0 AND 1 AND align >= 4e-1""")
-CANDIDATES = "select session_id as id, distance_km * 1e3 as distance_m, cast(rider_id as double) as reward, (session_id % 40) / 1e2 as compactness, (session_id % 7) / 1e2 as repeat_fraction from sessions"
+CANDIDATES = "select session_id as id, distance_km * 1e3 as distance_m, cast(rider_id as double) as reward, (session_id % 40) / 1e2 as compactness, (session_id % 23) / 1e2 as repeat_fraction from sessions"
 BAND = "distance_m BETWEEN 15e4 * 85e-2 AND 15e4 * 115e-2"
-GATE = "compactness >= 24e-2 AND repeat_fraction <= 5e-2"
+GATE = "compactness >= 26e-2 AND repeat_fraction <= 15e-2"
 register("rank_candidates", lambda s: g.ranked_candidates(s.sparkSession.sql(CANDIDATES.replace("sessions", "{s}"), s=s), 150000.0, 0.15).select("id", "in_band", "in_shape", "reward").limit(25), "sessions",
   f"SELECT id, {BAND} AS in_band, {GATE} AS in_shape, reward FROM ({CANDIDATES}) q ORDER BY {BAND} DESC, {GATE} DESC, reward DESC, id LIMIT 25")
 register("winner", lambda s: g.winner(s.sparkSession.sql(CANDIDATES.replace("sessions", "{s}"), s=s), 150000.0, 0.15).select("id"), "sessions",
