@@ -278,6 +278,52 @@ def energy_kcal(grams: DataFrame) -> DataFrame:
     return grams.select("session_id", F.expr(geo.half_up("9.3e0 * fat_g + 4.1e0 * carb_g")).alias("kcal"))
 
 
+#: Older, finer labels of speeds and the labels that took their place.
+SPEED_LABELS = {
+    "0-5 km/h": "0-10 km/h", "5-10 km/h": "0-10 km/h", "10-20 km/h": "10-20 km/h", "20-25 km/h": "20-30 km/h", "25-30 km/h": "20-30 km/h",
+    "30-35 km/h": "30-40 km/h", "35-40 km/h": "30-40 km/h", ">40 km/h": ">40 km/h",
+}
+
+
+def inserted(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``stored`` with new rows; a key that is there already, or twice in ``rows``, is an error."""
+    twice = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    clash = rows.select(key).join(stored.select(key), key, "left_semi").unionByName(twice).limit(1).collect()
+    if clash:
+        raise ValueError(f"{key} {clash[0][0]} is there already")
+    return stored.unionByName(rows)
+
+
+def updated(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``stored`` with the rows of ``changes`` in place of those of the same key; changes of unknown keys do nothing."""
+    known = changes.join(stored.select(key), key, "left_semi").select(*stored.columns)
+    return stored.join(known.select(key), key, "left_anti").select(*stored.columns).unionByName(known)
+
+
+def without(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return stored.join(keys.select(key), key, "left_anti").select(*stored.columns)
+
+
+def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each of ``keys``: the first by ``order`` (an edge that several chunks matched counts for the earliest)."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_b"))
+    return best.select(*keys, "_b.*").select(*rows.columns)
+
+
+def joined_legs(*legs: DataFrame) -> DataFrame:
+    """Rows of legs (route, seq, ...) one leg behind the other, numbered anew from 0."""
+    both = None
+    for i, leg in enumerate(legs):
+        part = leg.withColumn("_leg", F.lit(i))
+        both = part if both is None else both.unionByName(part)
+    return both.withColumn("seq", F.row_number().over(Window.partitionBy("route").orderBy("_leg", "seq")) - 1).drop("_leg")
+
+
+def by_creation(groups: DataFrame) -> DataFrame:
+    return groups.orderBy("created_at", "group_id")
+
+
 def upsert(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``stored`` with the rows of ``changes`` in place of those of the same key."""
     return stored.join(changes.select(key), key, "left_anti").unionByName(changes)

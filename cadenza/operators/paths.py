@@ -120,7 +120,7 @@ class Graph:
 def way_home(trips: DataFrame, edges: DataFrame, nodes: DataFrame, margin_m: float = 2000.0, start_m: float = 50.0, goal_m: float = 50.0) -> DataFrame:
     """(trip_id, seq, from_node, to_node, length_m): a shortest way for each trip (trip_id, lat, lon, home_lat, home_lon).
 
-    It begins at the end of the road nearest to the start, which must be within ``start_m``, and ends at the first node
+    It begins at the end of the road nearest to the start (to the millimetre; then the first by its nodes), which must be within ``start_m``, and ends at the first node
     within ``goal_m`` of home. Trips without such a way, or already at home, have no rows.
     """
     boxed = box_around(trips, ["lat", "home_lat"], ["lon", "home_lon"], margin_m)
@@ -128,7 +128,7 @@ def way_home(trips: DataFrame, edges: DataFrame, nodes: DataFrame, margin_m: flo
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         t, g = group.iloc[0], Graph(group)
-        near = g.distances(t.lat, t.lon)
+        near = np.round(g.distances(t.lat, t.lon), 3)
         first = int(near.argmin())
         goals = {n for n, p in g.at.items() if metres(*p, t.home_lat, t.home_lon) <= goal_m}
         found = g.path(g.b[first], goals) or [] if near[first] <= start_m else []

@@ -87,3 +87,9 @@ register("cascade_delete", lambda s, o: h.cascade_delete(s, o.where("o_totalpric
 register("upsert", lambda s: h.upsert(s.select("session_id", "distance_km"), s.where("session_id % 3 = 0").selectExpr("session_id", "distance_km * 2 as distance_km"), "session_id"), S, "SELECT session_id, CASE WHEN session_id % 3 = 0 THEN distance_km * 2 ELSE distance_km END AS distance_km FROM sessions")
 register("point_lookup", lambda s: s.where("session_id in (3, 1, 4, 15, 92, 65)").select("session_id", "distance_km", "average_power"), S, "SELECT session_id, distance_km, average_power FROM sessions WHERE session_id IN (3, 1, 4, 15, 92, 65)")
 register("best_effort_join", lambda p, s: m.best_split(p, 100).join(s.selectExpr("session_id", "session_start"), "session_id"), "ride_points sessions", f"WITH cum AS ({r.CUM}), b AS ({r._split(100)}) SELECT b.session_id, metres, best_sec, session_start FROM b JOIN sessions s ON s.session_id = b.session_id")
+
+EIGHT_SPEEDS = "CASE WHEN v < 5 THEN '0-5 km/h' WHEN v < 10 THEN '5-10 km/h' WHEN v < 20 THEN '10-20 km/h' WHEN v < 25 THEN '20-25 km/h' WHEN v < 30 THEN '25-30 km/h' WHEN v < 35 THEN '30-35 km/h' WHEN v < 40 THEN '35-40 km/h' WHEN v < 70 THEN '>40 km/h' ELSE 'odd' END"
+register("migrated_speeds", lambda p: h.merged_speed_bins(p.selectExpr("session_id", "coalesce(speed_kmh, 0e0) as v").selectExpr("session_id", f"{EIGHT_SPEEDS} as label").groupBy("session_id", "label").count().withColumnRenamed("count", "cnt"), h.SPEED_LABELS), "ride_points",
+  """SELECT session_id, label, count(*) FILTER (v >= low AND v < high) AS cnt FROM (SELECT session_id, coalesce(speed_kmh, 0) AS v FROM ride_points) p, (VALUES ('0-10 km/h', 0, 10), ('10-20 km/h', 10, 20), ('20-30 km/h', 20, 30), ('30-40 km/h', 30, 40), ('>40 km/h', 40, 70)) l(label, low, high) GROUP BY 1, 2""")
+register("cluster_rows", lambda s: s.selectExpr("session_id", "rider_id", "distance_km", "average_power", "net_duration_sec", "session_start"), S, "SELECT o_orderkey AS session_id, o_custkey AS rider_id, o_totalprice / 1e3 AS distance_km, CASE o_orderstatus WHEN 'F' THEN CAST(100 + o_orderkey % 200 AS INT) END AS average_power, net_duration_sec, o_orderdate AS session_start FROM orders JOIN sessions ON session_id = o_orderkey")
+register("groups_by_creation", lambda s: h.placed(s.groupBy(F.col("rider_id").alias("group_id")).agg(F.min("session_start").alias("created_at")), [F.col("created_at").asc(), F.col("group_id").asc()]).selectExpr("group_id", "cast(place as bigint) as place"), S, "SELECT rider_id AS group_id, row_number() OVER (ORDER BY min(session_start), rider_id) AS place FROM sessions GROUP BY rider_id")

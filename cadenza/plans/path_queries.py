@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import geo
-from cadenza.operators import loops, paths, roads, tracks
+from cadenza.operators import history, loops, paths, roads, tracks
 from cadenza.plans import duck
 from cadenza.plans.registry import register
 from cadenza.sources import files
@@ -30,6 +30,24 @@ def _match(points, edges, nodes):
 
 
 register("way_home", lambda e, n: paths.way_home(_trips(n), e, n), NG)
+# Shortest lengths by relaxation until nothing gets shorter, on the same boxes of roads.
+WAYS = f"""WITH RECURSIVE trip AS (SELECT a.id AS trip_id, a.lat + 1e-4 AS lat, a.lon + 1e-4 AS lon, b.id AS goal, least(a.lat + 1e-4, b.lat) - 2000 / 111320e0 AS s, greatest(a.lat + 1e-4, b.lat) + 2000 / 111320e0 AS n, least(a.lon + 1e-4, b.lon) - 2000 / 111320e0 / cos(radians(a.lat + 1e-4)) AS w, greatest(a.lon + 1e-4, b.lon) + 2000 / 111320e0 / cos(radians(a.lat + 1e-4)) AS e FROM map_nodes a JOIN map_nodes b ON b.id = a.id + 43),
+  road AS (SELECT from_node AS f, to_node AS t, length_m, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM map_edges JOIN map_nodes a ON a.id = from_node JOIN map_nodes b ON b.id = to_node),
+  box AS (SELECT trip_id, goal, road.*, round({duck.to_segment('lat', 'lon', 'alat', 'alon', 'blat', 'blon')}, 3) AS off FROM trip JOIN road ON alat BETWEEN s AND n AND alon BETWEEN w AND e OR blat BETWEEN s AND n AND blon BETWEEN w AND e),
+  begin AS (SELECT trip_id, goal, t FROM box QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY off, f, t) = 1 AND off <= 50),
+  best(trip_id, node, d) USING KEY (trip_id, node) AS (SELECT trip_id, t, 0e0 FROM begin UNION SELECT x.trip_id, b.t, min(x.d + b.length_m) FROM best x JOIN box b ON b.trip_id = x.trip_id AND b.f = x.node LEFT JOIN recurring.best r ON r.trip_id = x.trip_id AND r.node = b.t WHERE r.d IS NULL OR x.d + b.length_m < r.d GROUP BY 1, 2)
+  SELECT trip_id, round(d, 4) AS length_m FROM best JOIN begin USING (trip_id) WHERE node = goal AND d > 0"""
+register("way_home_length", lambda e, n: paths.way_home(_trips(n), e, n).groupBy("trip_id").agg(F.round(F.sum("length_m"), 4).alias("length_m")), NG, WAYS)
+
+
+def _fast_way_home(e, n):
+    """The estimates of three paces for each way home, and the share of it that has them."""
+    way = paths.way_home(_trips(n), e, n).select("trip_id", "seq", "from_node", "to_node").withColumnRenamed("trip_id", "route")
+    path = way.join(e.drop("is_traversed"), ["from_node", "to_node"])
+    return roads.ride_estimates(path).join(roads.percentile_coverage(path), "route")
+
+
+register("fast_way_home", _fast_way_home, NG)
 register("map_match", _match, f"ride_points {NG}")
 register("plan_loop", lambda e, n: paths.loops(n.selectExpr("id as plan_id", "lat", "lon", "14e3 as target_m"), e, n, e.selectExpr("from_node", "to_node", "cast(traversal_count as double) as reward"))
          .selectExpr("plan_id", "place", "round(length_m, 4) as length_m", "round(reward, 4) as reward", "round(repeat_fraction, 6) as repeat_fraction", "round(compactness, 6) as compactness", "array_join(nodes, ',') as nodes"), NG)
@@ -162,3 +180,22 @@ def _fit(points):
 
 register("fit_read", _fit, "ride_points", f"""WITH f AS ({FIT}) SELECT session_id, 'record' AS kind, idx, s + 631065600 AS sec, round(y * (180e0 / 2147483648e0), 6) AS lat, round(x * (180e0 / 2147483648e0), 6) AS lon, round(v / 1000e0 * 3.6e0, 4) AS speed_kmh, power, heart_rate, round(h / 5e0 - 500, 4) AS altitude FROM f
   UNION ALL SELECT session_id, 'total', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY 1""")
+
+
+def _first_matches(points, edges, nodes):
+    """Each road that a ride was matched to, once, with the chunk that found it first."""
+    return history.first_wins(_match(points, edges, nodes).select("session_id", "from_node", "to_node", "chunk"), ["session_id", "from_node", "to_node"], "chunk")
+
+
+register("matched_roads", _first_matches, f"ride_points {NG}")
+
+
+def _coverage(points, edges, nodes):
+    ride = _ride(points)
+    cut = tracks.chunks(ride, 5000.0)
+    return paths.match_coverage(ride, cut, paths.map_match(ride, cut, edges, nodes), "1e0").select("session_id", "distance_m", "matched_m", F.round("percent", 6).alias("percent"))
+
+
+register("match_coverage", _coverage, f"ride_points {NG}")
+register("joined_legs", lambda p: history.joined_legs(p.where("seq < 5").select("route", "seq", "from_node"), p.where("seq >= 19").select("route", "seq", "from_node"), p.where("seq between 5 and 9").select("route", "seq", "from_node")).selectExpr("route", "cast(seq as bigint) as seq", "from_node"), "paths",
+  "SELECT route, row_number() OVER (PARTITION BY route ORDER BY CASE WHEN seq < 5 THEN 0 WHEN seq >= 19 THEN 1 ELSE 2 END, seq) - 1 AS seq, from_node FROM paths WHERE seq < 10 OR seq >= 19")

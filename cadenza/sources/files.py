@@ -122,10 +122,19 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return hashed.join(first, ["sha1", "path"], "left_semi").join(known.select("sha1"), "sha1", "left_anti")
 
 
-def enough_points(points: DataFrame, key: str, least: int = 60) -> tuple[DataFrame, DataFrame]:
-    """Points of rides with at least ``least`` of them, and the keys and counts of the others."""
+def enough_points(points: DataFrame, key: str, least: int = 60, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Points of rides with at least ``least`` of them, and the keys and counts of the others; ``force`` lets all rides pass."""
     counts = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_points"))
-    return points.join(counts.where(F.col("n_points") >= least), key, "left_semi"), counts.where(F.col("n_points") < least)
+    small = F.lit(False) if force else F.col("n_points") < least
+    return points.join(counts.where(~small), key, "left_semi"), counts.where(small)
+
+
+def checked_graph(tables: dict[str, DataFrame], metadata: DataFrame, version: int = 1) -> dict[str, DataFrame]:
+    """The road graph's tables, if its one row of metadata has the right schema_version; otherwise an error that says so."""
+    found = [r["schema_version"] for r in metadata.select("schema_version").limit(2).collect()]
+    if found != [version]:
+        raise ValueError(f"the road graph has schema versions {found}, not [{version}]")
+    return tables
 
 
 def _number(s: str | None) -> float | None:

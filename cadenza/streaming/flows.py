@@ -19,14 +19,59 @@ def arriving_files(spark: SparkSession, folder: str, suffix: str, per_batch: int
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", f"*{suffix}").option("maxFilesPerTrigger", per_batch).load(folder).select("path", "content")
 
 
-def kept_current(changes: DataFrame, recompute: Callable[[SparkSession], DataFrame], table: str, checkpoint: str, settle: str = "0 seconds"):
-    """Recompute a result after each batch of changes; ``settle`` is the time between batches, in which changes gather."""
-    def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            recompute(batch.sparkSession).write.mode("overwrite").parquet(table)
+def kept_current(changes: DataFrame, recompute: Callable[[SparkSession], DataFrame], table: str, checkpoint: str, settle: str = "0 seconds", keep: int = 2):
+    """Recompute a result after each batch of changes; ``settle`` is the time between batches, in which changes gather.
+
+    Each result is a version of its own below ``table``, and counts once it is whole: readers (``current``) never see a
+    gap, and a crash leaves the version before. A batch that is repeated writes its version anew. ``keep``: versions
+    that stay for readers still at work.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        recompute(spark).write.mode("overwrite").parquet(f"{table}/version={number:012d}")
+        for old in versions(spark, table)[:-keep]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=settle)
 
 
+def versions(spark: SparkSession, table: str) -> list[str]:
+    """Names of the whole versions of a table kept current, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(table)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(path(table))]
+    return sorted(n for n in names if n.startswith("version=") and fs.exists(path(f"{table}/{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The newest whole version of a table kept current; None before the first."""
+    found = versions(spark, table)
+    return spark.read.parquet(f"{table}/{found[-1]}") if found else None
+
+
+def latest_of_both(one: DataFrame, two: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """The latest row of each of two tables by key, side by side (batch, or within ``kept_current``); keys that only one has are left out."""
+    def last(df: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c != key]
+        return df.groupBy(key).agg(F.max_by(F.struct(*rest), ts).alias(name))
+    return last(one, "one").join(last(two, "two"), key)
+
+
+def import_batches(files: DataFrame, import_files: Callable[[DataFrame], DataFrame], after: Callable[[SparkSession], None], checkpoint: str):
+    """Import new files batch by batch, one batch at a time, and regroup once a batch: ``after`` runs only if the batch brought a ride.
+
+    ``import_files`` stores the rides of (path, content) rows and returns a row for each result (kind: success, error, small).
+    """
+    def run(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty() and not import_files(batch).where("kind = 'success'").isEmpty():
+            after(batch.sparkSession)
+    return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def usable_fixes(fixes: DataFrame, max_accuracy_m: float, max_age: str = "120 seconds") -> DataFrame:
     """Fixes (ts, seen_at, accuracy_m) that are exact and fresh enough."""
     return fixes.where((F.col("accuracy_m") <= max_accuracy_m) & (F.col("ts") >= F.col("seen_at") - F.expr(f"interval {max_age}")))

@@ -86,3 +86,65 @@ def test_throttle_and_headings_on_a_stream(spark, tmp_path):
 def test_first_good_fix(spark):
     fixes = spark.createDataFrame([(1, 0, 1, 50.0), (1, 0, 3, 15.0), (1, 0, 4, 5.0), (2, 0, 1, 90.0), (2, 0, 4, 60.0), (2, 0, 9, 1.0)], "k long, a long, t long, accuracy_m double").selectExpr("k", "timestamp_seconds(a) asked_at", "timestamp_seconds(t) ts", "accuracy_m")
     assert {r.k: r.accuracy_m for r in flows.first_good_fix(fixes, "k").collect()} == {1: 15.0, 2: 60.0}
+
+
+def test_forced_imports_and_checked_graphs(spark):
+    rows = spark.createDataFrame([(1, 1)], "k long, i long")
+    good, bad = f.enough_points(rows, "k", 3, force=True)
+    assert good.count() == 1 and bad.count() == 0
+    metadata = spark.createDataFrame([(2,)], "schema_version int")
+    assert f.checked_graph({"nodes": rows}, metadata, 2) == {"nodes": rows}
+    with pytest.raises(ValueError, match="schema versions"):
+        f.checked_graph({}, metadata)
+
+
+def test_arriving_files_are_imported_once(spark, tmp_path):
+    seen, regrouped = [], []
+    (tmp_path / "in").mkdir()
+
+    def go():
+        def take(batch):
+            rows = [(r.path.rsplit("/", 1)[-1], bytes(r.content)) for r in batch.collect()]
+            seen.extend(rows)
+            return batch.selectExpr("CASE WHEN length(content) > 1 THEN 'success' ELSE 'small' END as kind")
+        flows.import_batches(flows.arriving_files(spark, str(tmp_path / "in"), ".fit"), take, lambda _: regrouped.append(1), str(tmp_path / "ck")).start().awaitTermination(120)
+
+    for name, text in (("a.fit", b"one"), ("b.txt", b"two")):
+        (tmp_path / "in" / name).write_bytes(text)
+    go()
+    (tmp_path / "in" / "c.fit").write_bytes(b"3")
+    go()
+    assert seen == [("a.fit", b"one"), ("c.fit", b"3")] and regrouped == [1]
+
+
+def test_results_kept_current_have_no_gaps(spark, tmp_path):
+    table, source = str(tmp_path / "out"), str(tmp_path / "src")
+    assert flows.current(spark, table) is None
+    for n in (1, 2, 3, 4):
+        spark.range(n).selectExpr("id", f"{n} as n").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, n int").parquet(source)
+        query = flows.kept_current(stream, lambda s: s.read.parquet(source).groupBy().max("n"), table, str(tmp_path / "ck2")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert flows.current(spark, table).first()[0] == n
+    assert len(flows.versions(spark, table)) == 2
+
+
+def test_usable_fixes_and_latest_of_both(spark):
+    rows = spark.createDataFrame([(1, 1000, 1010, 5.0), (2, 1000, 1200, 5.0), (3, 1000, 1010, 90.0)], "k long, t long, s long, accuracy_m double").selectExpr("k", "timestamp_seconds(t) ts", "timestamp_seconds(s) seen_at", "accuracy_m")
+    assert [r.k for r in flows.usable_fixes(rows, 20.0).collect()] == [1]
+    one = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k long, ts long, v string")
+    assert [(r.k, r.one.v, r.two.v) for r in flows.latest_of_both(one, one.where("k = 1 and ts = 1"), "k").collect()] == [(1, "b", "a")]
+
+
+def test_table_writes(spark):
+    from cadenza.operators import history as h
+
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    stored = rows((1, "a"), (2, "b"))
+    assert sorted(map(tuple, h.inserted(stored, rows((3, "c")), "id").collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    for bad in (rows((2, "x")), rows((5, "x"), (5, "y"))):
+        with pytest.raises(ValueError, match="there already"):
+            h.inserted(stored, bad, "id")
+    assert sorted(map(tuple, h.updated(stored, rows((2, "x"), (9, "y")), "id").collect())) == [(1, "a"), (2, "x")]
+    assert sorted(map(tuple, h.without(stored, rows((1, "")), "id").collect())) == [(2, "b")]
+    assert [r.cnt for r in h.merged_speed_bins(spark.createDataFrame([(1, k, n) for k, n in zip([*h.SPEED_LABELS, "odd"], (2, 3, 10, 4, 6, 5, 1, 7, 99))], "session_id long, label string, cnt long"), h.SPEED_LABELS).orderBy("label").collect()] == [5, 10, 10, 6, 7]
