@@ -101,8 +101,8 @@ def search_block(ids, vectors, code, q_ids, queries, centroid, turn, config: Vec
 
 
 def usable_vectors(table: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part: an id, no null or non-finite component, not all zero."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id and v of the vectors that take part: an id, no null or non-finite component, not all zero. Floats stay floats, all else becomes double."""
+    v = F.col("embedding") if dict(table.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(good, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
@@ -131,6 +131,7 @@ def nearest_neighbours(table: DataFrame, every: int = 100, config: VectorIndex =
 
 def _search(rows: DataFrame, dim: int, total: int, every: int, config: VectorIndex) -> DataFrame:
     n_lists = int(max(1, min(config.max_lists, total // config.list_rows)))
+    kind = dict(rows.dtypes)["v"]  # floats travel as floats; kernels compute with doubles
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.fit_rows).toArrow()
     centroids = fit_centroids(_arrays(sample["v"].combine_chunks(), dim), n_lists, config.seed)
     n_lists = len(centroids)
@@ -148,7 +149,7 @@ def _search(rows: DataFrame, dim: int, total: int, every: int, config: VectorInd
 
         return run
 
-    dealt_schema = "vec_id bigint, v array<double>, lists array<int>"
+    dealt_schema = f"vec_id bigint, v {kind}, lists array<int>"
     indexed = rows.mapInArrow(deal(1), dealt_schema).select("vec_id", "v", F.col("lists")[0].alias("list"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def _search(rows: DataFrame, dim: int, total: int, every: int, config: VectorInd
             bits, length, fit = encode(v, centroids[own], turn)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(fit)], names=["vec_id", "v", "list", "bits", "length", "fit"])
 
-    coded = materialize(indexed.mapInArrow(code, "vec_id bigint, v array<double>, list int, bits binary, length double, fit double"))
+    coded = materialize(indexed.mapInArrow(code, f"vec_id bigint, v {kind}, list int, bits binary, length double, fit double"))
     # One row a list: at most max_lists, whatever the number of vectors.
     chunks = [(r["list"], -(-r["n"] // config.chunk_rows)) for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()]
     per_list = F.broadcast(rows.sparkSession.createDataFrame(chunks, "list int, chunks int"))
