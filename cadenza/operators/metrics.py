@@ -147,12 +147,10 @@ def normalized_power(points: DataFrame) -> DataFrame:
 
 def effective_power(points: DataFrame, back: int = 20) -> DataFrame:
     """Power with each zero replaced by the median of the last ``back`` positive values before it (0 without any)."""
-    df = points.withColumn("p", F.when(F.col("power") > 0, F.col("power")).otherwise(0))
-    df = df.withColumn("k", F.sum(F.expr("cast(p > 0 as int)")).over(_order()))
-    known = df.where("p > 0").withColumn("m", F.expr(f"percentile(p, 0.5) over (partition by session_id order by k rows between {back - 1} preceding and current row)"))
-    known = known.select(F.col("session_id").alias("s"), F.col("k").alias("j"), "m")
-    out = df.join(known, (F.col("session_id") == F.col("s")) & (F.col("k") == F.col("j")), "left")
-    return out.select("session_id", "idx", F.when(F.col("p") > 0, F.col("p").cast("double")).otherwise(F.coalesce("m", F.lit(0.0))).alias("effective_power"))
+    df = points.select("session_id", "idx", F.when(F.col("power") > 0, F.col("power")).otherwise(0).alias("p")).withColumn("on", F.col("p") > 0)
+    df = df.withColumn("m", F.expr(f"case when on then percentile(p, 0.5) over (partition by session_id, on order by idx rows between {back - 1} preceding and current row) end"))
+    before = F.coalesce(F.last("m", True).over(_order()), F.lit(0.0))
+    return df.select("session_id", "idx", F.when(F.col("on"), F.col("p").cast("double")).otherwise(before).alias("effective_power"))
 
 
 def fat_carb_grams(points: DataFrame) -> DataFrame:
