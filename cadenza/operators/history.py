@@ -66,8 +66,9 @@ def values_at(rows: DataFrame, column: str, ranks: list[int]) -> list:
         here = sorted({r for r in ranks if before <= r < before + n})
         if here:
             run = counts.where(F.col("part") == part).withColumn("upto", F.sum("c").over(Window.partitionBy("part").orderBy("v")) + before)
-            for r in here:
-                found[r] = run.where(F.col("upto") > r).agg(F.min("v")).first()[0]
+            hit = " or ".join(f"(upto > {r} and upto - c <= {r})" for r in here)
+            for row in run.where(hit).select("v", "c", "upto").collect():
+                found |= {r: row["v"] for r in here if row["upto"] - row["c"] <= r < row["upto"]}
         before += n
     discard(counts)
     return [found[r] for r in ranks]
@@ -91,6 +92,7 @@ def power_speed_cloud(sessions: DataFrame) -> DataFrame:
     """
     df = sessions.where("has_power and average_power is not null and elevation_gain_m is not null and net_duration_sec > 0 and distance_km > 0")
     df = df.selectExpr("session_id", "cast(average_power as float) as power", "cast(distance_km / net_duration_sec * 3600e0 as float) as speed", "elevation_gain_m / distance_km * 100e0 as climb")
+    df = store(df)
     for c, (low, high) in {c: middle_range(df, c, 0.025, 0.975) for c in ("power", "speed")}.items():
         df = df.where(F.col(c).between(F.lit(low).cast("float"), F.lit(high).cast("float")))
     return df.select("session_id", F.round(F.col("power").cast("double"), 4).alias("power"), F.round(F.col("speed").cast("double"), 4).alias("speed"), F.expr(geo.bin_label("climb", CLIMB_CLASSES)).alias("climb_class"))

@@ -76,6 +76,15 @@ def _cells(df: DataFrame, size_m: float, top_lat: float) -> DataFrame:
     return df.withColumn("cy", F.expr(f"cast(floor(lat / ({geo.number(size_m)} / 111000e0)) as bigint)")).withColumn("cx", F.expr(f"cast(floor(lon / ({lon} * 1.01e0)) as bigint)"))
 
 
+def _reached(df: DataFrame, radius_m: float, size_m: float, top_lat: float) -> DataFrame:
+    """Each row once for each of the cells of ``_cells`` that its radius reaches."""
+    lat, lon = f"({geo.number(size_m)} / 111000e0)", f"({geo.number(size_m)} / {geo.metres_per_degree_lon(geo.number(top_lat))} * 1.01e0)"
+    up, wide = geo.number(radius_m / 111000.0), f"({geo.number(radius_m * 1.01)} / {geo.metres_per_degree_lon('lat')})"
+    rows = f"sequence(cast(floor((lat - {up}) / {lat}) as bigint), cast(floor((lat + {up}) / {lat}) as bigint))"
+    columns = f"sequence(cast(floor((lon - {wide}) / {lon}) as bigint), cast(floor((lon + {wide}) / {lon}) as bigint))"
+    return df.withColumn("cy", F.explode(F.expr(rows))).withColumn("cx", F.explode(F.expr(columns)))
+
+
 def _around(df: DataFrame) -> DataFrame:
     """Each row once for its own and each neighbouring cell."""
     return df.withColumn("_c", F.explode(F.expr("transform(sequence(0, 8), i -> struct(cy + i div 3 - 1 as cy, cx + i % 3 - 1 as cx))"))).withColumn("cy", F.col("_c.cy")).withColumn("cx", F.col("_c.cx")).drop("_c")
@@ -88,10 +97,12 @@ def coverage(samples: DataFrame, points: DataFrame, pairs: DataFrame, radius_m:
     and cell, so a place that many tracks pass is no hot key. Pairs without any such sample have no row.
     """
     wanted = pairs.select("a", "b").where("a <> b").distinct()
-    left = _around(_cells(samples.select(F.col(key).alias("a"), "k", "lat", "lon").join(wanted, "a"), radius_m, top_lat)).selectExpr("a", "b", "k", "lat as la", "lon as lo", "cy", "cx")
-    right = _cells(points.select(F.col(key).alias("b"), "lat", "lon"), radius_m, top_lat)
-    near = left.join(right, ["b", "cy", "cx"]).where(F.expr(f"{geo.haversine('la', 'lo', 'lat', 'lon')} <= {geo.number(radius_m)}"))
-    hits = near.select("a", "b", "k").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
+    cell_m = 8 * radius_m  # few samples are near a second cell
+    left = _reached(samples.select(F.col(key).alias("a"), "k", "lat", "lon"), radius_m, cell_m, top_lat).join(wanted, "a").selectExpr("a", "b", "k", "lat as la", "lon as lo", "cy", "cx")
+    right = _cells(points.select(F.col(key).alias("other"), "lat", "lon"), cell_m, top_lat).withColumnsRenamed({"cy": "ry", "cx": "rx"})
+    # A sample needs one point that is near: a semi-join stops there, and does not list the others.
+    close = F.expr(f"b = other AND cy = ry AND cx = rx AND {geo.haversine('la', 'lo', 'lat', 'lon')} <= {geo.number(radius_m)}")
+    hits = left.join(right, close, "left_semi").select("a", "b", "k").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
     n = samples.groupBy(F.col(key).alias("a")).agg(F.count(F.lit(1)).alias("n"))
     return hits.join(n, "a").select("a", "b", F.round(F.col("hits") / F.col("n"), 6).alias("share"))
 
@@ -133,12 +144,15 @@ def interval_matches(left: DataFrame, right: DataFrame, radius_m: float = 20.0,
 
     Points meet by cell and by bins of their tracks' lengths, so only tracks of like lengths meet anywhere.
     """
-    def placed(points: DataFrame, name: str) -> DataFrame:
+    cell_m = 8 * radius_m
+
+    def placed(points: DataFrame, name: str, reach: bool) -> DataFrame:
         sized = points.join(interval_tracks_summary(points), "interval_id").withColumn("bin", F.floor(F.col("distance_m") / tolerance_m).cast("long"))
-        return _cells(sized, radius_m, top_lat).selectExpr(f"interval_id as {name}", f"idx as {name}_idx", f"lat as {name}_lat", f"lon as {name}_lon", f"distance_m as {name}_m", f"n as {name}_n", "bin", "cy", "cx")
+        cells = _reached(sized, radius_m, cell_m, top_lat) if reach else _cells(sized, cell_m, top_lat)
+        return cells.selectExpr(f"interval_id as {name}", f"idx as {name}_idx", f"lat as {name}_lat", f"lon as {name}_lon", f"distance_m as {name}_m", f"n as {name}_n", "bin", "cy", "cx")
 
-    a = _around(placed(left, "a")).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    b = placed(right, "b")
+    a = placed(left, "a", True).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    b = placed(right, "b", False)
     near = a.join(b, ["cy", "cx", "bin"]).where("a <> b").where(F.abs(F.col("a_m") - F.col("b_m")) <= tolerance_m).where(F.expr(f"{geo.haversine('a_lat', 'a_lon', 'b_lat', 'b_lon')} <= {geo.number(radius_m)}"))
     hit_a = near.select("a", "b", "a_idx", "a_n").distinct().groupBy("a", "b").agg((F.count(F.lit(1)) / F.first("a_n")).alias("share_a"))
     hit_b = near.select("a", "b", "b_idx", "b_n").distinct().groupBy("a", "b").agg((F.count(F.lit(1)) / F.first("b_n")).alias("share_b"))
