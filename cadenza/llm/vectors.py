@@ -94,7 +94,8 @@ def search_block(ids, vectors, code, q_ids, queries, centroid, turn, config: Vec
             limit = np.partition(top, min(config.k, n) - 1)[min(config.k, n) - 1]
             pick = np.flatnonzero(allowed & (low[i] <= limit + 1e-9 * abs(limit) + 1e-12))
             gap = vectors[pick] - qs[i]
-            dist = np.sqrt((gap * gap).sum(1))
+            # Component after component, so that the score does not depend on how a sum is split.
+            dist = np.sqrt(np.add.accumulate(gap * gap, axis=1)[:, -1])
             best = np.lexsort((ids[pick], dist))[: config.k]
             out += [(int(q), int(ids[pick[b]]), float(dist[b])) for b in best]
     return out
