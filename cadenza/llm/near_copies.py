@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +103,16 @@ def shingle_sets(texts: list[str | None], k: int, common: np.ndarray | None = No
     return tokens[new], np.bincount(who[new], minlength=len(texts)).astype(np.int64)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows whose texts (column 2) start within ``size`` bytes of each other, so that memory goes by bytes, not by rows."""
+    starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, batch.num_rows, int(np.searchsorted(starts, starts[at] + size, "left"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _sets(rows: DataFrame, config: NearCopies, common: np.ndarray | None, whole: bool) -> DataFrame:
     """doc_id, text_id, node (63 bits that name the set; null: empty), n, and tokens: the whole set, or its prefix.
 
@@ -110,8 +121,7 @@ def _sets(rows: DataFrame, config: NearCopies, common: np.ndarray | None, whole:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for batch in _slices(big):
                 flat, n = shingle_sets(batch.column(2).to_pylist(), config.k, common)
                 ends = np.cumsum(n)
                 plain = flat & ~np.int64(1 << 62)

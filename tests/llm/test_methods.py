@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, oracle_rows, rows
 from conftest import SMALL
@@ -186,3 +187,13 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     mixed = p.STAGES[3][1](spark, hidden, SMALL)
     tokens = p.STAGES[4][1](spark, mixed, SMALL).collect()
     assert mixed.count() == len(tokens) == 1 and tokens[0].n_tokens > 50
+
+
+def test_slices_of_a_batch_go_by_rows_and_bytes():
+    texts = ["a" * 10, None, "b" * 100, "c", "", "d" * 30, "e" * 30, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text_id", "text"])
+    found = [x.column(2).to_pylist() for x in near_copies._slices(batch, 3, 40)]
+    assert sum(found, []) == texts
+    assert found == [["a" * 10, None, "b" * 100], ["c", "", "d" * 30], ["e" * 30, None]]
+    assert list(near_copies._slices(batch.slice(0, 0))) == []
+    assert [x.num_rows for x in near_copies._slices(batch, 8, 20)] == [3, 3, 1, 1]
