@@ -350,21 +350,25 @@ def tracks_as_json(points: DataFrame) -> DataFrame:
     return rows.select("id", F.to_json(F.transform("p", lambda x: F.array(x["lat"], x["lon"]))).alias("track"))
 
 
-def surrogates(unknown: DataFrame, known: DataFrame, radius_m: float, angle: float, top_lat: float = 60.0) -> DataFrame:
+def surrogates(unknown: DataFrame, known: DataFrame, radius_m: float, angle: float) -> DataFrame:
     """(edge, surrogate, distance_m): for roads (edge, lat, lon of the middle, bearing) the nearest known road within the radius that runs alike.
 
     Known roads are ridden and have speed and power, which the caller sees to; they (edge, alat, alon, blat, blon, bearing) lie in all cells that their box, widened by the radius, meets.
+    Cells lie in bands of latitude and are as wide as a band's least circle asks for, so no latitude is too high for them.
     """
     size = max(radius_m, 2000.0)
-    lat_size, lon_size = size / 111000.0, size / (111320.0 * math.cos(math.radians(top_lat)))
-    pad_lat, pad_lon = radius_m / 111000.0, radius_m / (111320.0 * math.cos(math.radians(top_lat)))
-
-    def cells(a: str, b: str, pad: float, step: float) -> str:
-        return f"sequence(cast(floor((least({a}, {b}) - {geo.number(pad)}) / {geo.number(step)}) as bigint), cast(floor((greatest({a}, {b}) + {geo.number(pad)}) / {geo.number(step)}) as bigint))"
+    lat_size, pad_lat = size / 111000.0, radius_m / 111000.0
+    low, high = f"cos(radians(cy * {geo.number(lat_size)}))", f"cos(radians((cy + 1) * {geo.number(lat_size)}))"
+    # A band that holds a pole is one cell: the cosines of its ends differ in sign.
+    narrow = f"(CASE WHEN {low} * {high} <= 0e0 THEN 1e-9 ELSE greatest(1e-9, least(abs({low}), abs({high}))) END)"
+    per_lon = lambda m: f"({geo.number(m / 111000.0)} / {narrow})"
 
     roads = known.select(F.col("edge").alias("surrogate"), "alat", "alon", "blat", "blon", F.col("bearing").alias("other"))
-    roads = roads.withColumn("cy", F.explode(F.expr(cells("alat", "blat", pad_lat, lat_size)))).withColumn("cx", F.explode(F.expr(cells("alon", "blon", pad_lon, lon_size))))
-    asked = unknown.withColumn("cy", F.expr(f"cast(floor(lat / {geo.number(lat_size)}) as bigint)")).withColumn("cx", F.expr(f"cast(floor(lon / {geo.number(lon_size)}) as bigint)"))
+    band = lambda x: f"cast(floor(({x}) / {geo.number(lat_size)}) as bigint)"
+    roads = roads.withColumn("cy", F.explode(F.expr(f"sequence({band(f'least(alat, blat) - {geo.number(pad_lat)}')}, {band(f'greatest(alat, blat) + {geo.number(pad_lat)}')})")))
+    column = lambda x: f"cast(floor(({x}) / {per_lon(size)}) as bigint)"
+    roads = roads.withColumn("cx", F.explode(F.expr(f"sequence({column(f'least(alon, blon) - {per_lon(radius_m)}')}, {column(f'greatest(alon, blon) + {per_lon(radius_m)}')})")))
+    asked = unknown.withColumn("cy", F.expr(band("lat"))).withColumn("cx", F.expr(column("lon")))
     k = "cos(radians(lat)) * 111320e0"
     d = geo.point_to_segment("0e0", "0e0", f"((alon - lon) * {k})", "((alat - lat) * 111320e0)", f"((blon - lon) * {k})", "((blat - lat) * 111320e0)")
     pairs = asked.join(roads, ["cy", "cx"]).where("edge <> surrogate").where(F.expr(geo.bearing_difference("bearing", "other")) <= angle).withColumn("d", F.expr(d)).where(F.col("d") <= radius_m)
