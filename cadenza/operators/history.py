@@ -178,11 +178,17 @@ def power_duration_model(sessions: DataFrame, key: str) -> DataFrame:
 
     Groups with fewer than two rides with power, or one power only, have no model and no row.
     """
-    x, y = "CASE WHEN has_power THEN cast(average_power as double) END", "cast(net_duration_sec as double)"
-    out = sessions.groupBy(F.col(key).alias("group_id")).agg(
-        F.expr(f"count({x})").alias("n"), F.expr(f"regr_slope({y}, {x})").alias("b"), F.expr(f"regr_intercept({y}, {x})").alias("a"), F.expr(f"regr_sxx({y}, {x})").alias("sxx"),
+    x, y = "CASE WHEN has_power THEN average_power END", "net_duration_sec"
+    both = f"{x} is not null and {y} is not null"
+    exact = lambda *f: f"sum(CASE WHEN {both} THEN {' * '.join(f'cast({v} as decimal(19, 0))' for v in f)} END)"
+    per = sessions.groupBy(F.col(key).alias("group_id")).agg(
+        F.expr(f"count({x})").alias("n"), F.expr(f"cast(count(CASE WHEN {both} THEN 1 END) as decimal(19, 0))").alias("m"),
+        *[F.expr(f"cast({exact(*f)} as decimal(38, 0))").alias(name) for name, f in (("sx", (x,)), ("sy", (y,)), ("sxx", (x, x)), ("sxy", (x, y)))],
         F.expr(f"cast(min({x}) as int)").alias("low"), F.expr(f"cast(max({x}) as int)").alias("high"), F.round(F.percentile("distance_km", F.lit(0.5)), 6).alias("median_km"))
-    return out.where("n >= 2 and sxx > 0").selectExpr("group_id", "n", "round(b, 5) AS slope", "round(a, 5) AS intercept", "(low - 10) div 10 * 10 AS slider_min", "CASE WHEN (high + 10) % 10 = 0 THEN high + 10 ELSE ((high + 10) div 10 + 1) * 10 END AS slider_max", "median_km")
+    # Whole numbers have exact sums; a quotient that lies on half a digit is then rounded the same way in any order of the rides.
+    out = per.withColumn("above", F.expr("cast(m * sxy - sx * sy as decimal(38, 0))")).withColumn("below", F.expr("cast(m * sxx - sx * sx as decimal(38, 0))"))
+    out = out.where("n >= 2 and below > 0").withColumn("b", F.expr("cast(above as double) / cast(below as double)")).withColumn("a", F.expr("cast(sy * sxx - sx * sxy as double) / cast(below as double)"))
+    return out.selectExpr("group_id", "n", "round(b, 5) AS slope", "round(a, 5) AS intercept", "(low - 10) div 10 * 10 AS slider_min", "CASE WHEN (high + 10) % 10 = 0 THEN high + 10 ELSE ((high + 10) div 10 + 1) * 10 END AS slider_max", "median_km")
 
 
 def estimated_seconds(models: DataFrame, watts: str) -> DataFrame:
