@@ -234,13 +234,14 @@ def intervals(points: DataFrame, ftp: float = 150, window: int = 15, rest: int =
     o = _order()
     step = F.coalesce(F.expr(geo.haversine("a", "b", "lat", "lon")), F.lit(0.0))
     df = points.withColumn("a", F.lag("lat").over(o)).withColumn("b", F.lag("lon").over(o)).withColumn("p", F.coalesce("power", F.lit(0)).cast("long")).withColumn("step", step)
-    df = df.withColumn("v", F.coalesce("speed_kmh", F.lit(0.0))).withColumn("k", F.col("speed_kmh").isNotNull().cast("int"))
+    # Speeds are added up as decimals: differences of running sums of doubles would tip means that lie on half a tenth.
+    df = df.withColumn("v", F.expr("cast(coalesce(speed_kmh, 0e0) as decimal(38, 18))")).withColumn("k", F.col("speed_kmh").isNotNull().cast("int"))
     running = df.select("session_id", "idx", "lat", "lon", _micros().alias("m"), "p", "v", "k", "step", *[F.sum(x).over(o).alias(f"s_{x}") for x in ("p", "v", "k", "step")])
     first = running.selectExpr("session_id", "idx as start_idx", "s_p - p as p0", "s_v - v as v0", "s_k - k as k0", "s_step as d0", "m as m0", "lat as start_lat", "lon as start_lon")
     last = running.selectExpr("session_id", "idx as end_idx", "s_p as p1", "s_v as v1", "s_k as k1", "s_step as d1", "m as m1", "lat as end_lat", "lon as end_lon")
     out = spans.join(first, ["session_id", "start_idx"]).join(last, ["session_id", "end_idx"]).withColumn("n", F.expr("end_idx - start_idx + 1")).withColumn("mean", F.expr("cast(p1 - p0 as double) / n"))
     out = out.where(F.col("n") * (F.col("mean") / ftp) >= least).withColumn("avg_power", F.expr(geo.half_up("mean"))).withColumn("duration_sec", F.expr("cast(greatest(floor((m1 - m0) / 1e6), n) as int)"))
-    out = out.withColumn("distance", F.expr("d1 - d0")).withColumn("speed", F.expr("CASE WHEN k1 > k0 THEN (v1 - v0) / (k1 - k0) ELSE 0e0 END"))
+    out = out.withColumn("distance", F.expr("d1 - d0")).withColumn("speed", F.expr("CASE WHEN k1 > k0 THEN cast(v1 - v0 as double) / (k1 - k0) ELSE 0e0 END"))
     tenth = lambda x: f"cast({geo.half_up(f'{x} * 1e1')} as double) / 1e1"
     return out.selectExpr("session_id", "start_idx", "end_idx", "duration_sec", "avg_power", f"cast(duration_sec * avg_power / {geo.number(ftp)} as int) AS normalized_sec", "round(distance, 4) AS distance_m", f"{tenth('speed')} AS speed_kmh",
                           f"CASE WHEN avg_power > 0 THEN {tenth(f'(speed / avg_power * {geo.number(ftp)})')} ELSE 0e0 END AS normalized_kmh", f"{geo.compass('distance', geo.bearing('start_lat', 'start_lon', 'end_lat', 'end_lon'))} AS direction")
