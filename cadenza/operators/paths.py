@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.plans.lineage import store
+
 CELL_DEG = 0.05
 METRES_PER_DEGREE = 111320.0
 
@@ -25,7 +27,20 @@ def located(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the places of both ends (alat, alon, blat, blon)."""
     a = nodes.selectExpr("id as from_node", "lat as alat", "lon as alon")
     b = nodes.selectExpr("id as to_node", "lat as blat", "lon as blon")
-    return edges.join(a, "from_node").join(b, "to_node").select("from_node", "to_node", "length_m", "alat", "alon", "blat", "blon")
+    # All nodes are no table to broadcast, however few bytes their file takes.
+    return edges.join(a.hint("merge"), "from_node").join(b.hint("merge"), "to_node").select("from_node", "to_node", "length_m", "alat", "alon", "blat", "blon")
+
+
+def clamped(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Boxes (south, north, west, east) cut to the extent of all nodes, which changes nothing in them; those left empty go.
+
+    Near a pole a margin in metres is any number of degrees, and a box of so many cells would fit no task.
+    """
+    extent = nodes.agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min("lon").alias("_w"), F.max("lon").alias("_e"))
+    cut = boxes.crossJoin(F.broadcast(extent))
+    for name, way, limit in (("south", F.greatest, "_s"), ("north", F.least, "_n"), ("west", F.greatest, "_w"), ("east", F.least, "_e")):
+        cut = cut.withColumn(name, way(name, limit))
+    return cut.where("south <= north and west <= east").select(*boxes.columns)
 
 
 def roads_in_boxes(boxes: DataFrame, roads: DataFrame, key: str) -> DataFrame:
@@ -37,13 +52,13 @@ def roads_in_boxes(boxes: DataFrame, roads: DataFrame, key: str) -> DataFrame:
     ends = ", ".join(f"struct(cast(floor({e}lat / {CELL_DEG}) as int) as r, cast(floor({e}lon / {CELL_DEG}) as int) as c)" for e in "ab")
     spread = roads.withColumn("_cell", F.explode(F.expr(f"array_distinct(array({ends}))"))).withColumn("_r", F.col("_cell.r")).withColumn("_c", F.col("_cell.c")).drop("_cell")
     inside = " or ".join(f"({e}lat between south and north and {e}lon between west and east)" for e in "ab")
-    return wide.join(spread, ["_r", "_c"]).where(inside).select(key, *roads.columns).dropDuplicates([key, "from_node", "to_node"])
+    return wide.hint("merge").join(spread, ["_r", "_c"]).where(inside).select(key, *roads.columns).dropDuplicates([key, "from_node", "to_node"])
 
 
 def box_around(df: DataFrame, lats: list[str], lons: list[str], margin_m: float) -> DataFrame:
     """Adds the box around some points of each row, widened by ``margin_m``."""
-    south, north = f"least({', '.join(lats)}, 90d)", f"greatest({', '.join(lats)}, -90d)"
-    west, east = f"least({', '.join(lons)}, 180d)", f"greatest({', '.join(lons)}, -180d)"
+    many = lambda way, x: f"{way}({', '.join(x)})" if len(x) > 1 else x[0]
+    south, north, west, east = many("least", lats), many("greatest", lats), many("least", lons), many("greatest", lons)
     lat, lon = margin_m / METRES_PER_DEGREE, f"{margin_m / METRES_PER_DEGREE} / cos(radians({lats[0]}))"
     return df.selectExpr("*", f"{south} - {lat} as south", f"{north} + {lat} as north", f"{west} - {lon} as west", f"{east} + {lon} as east")
 
@@ -71,30 +86,47 @@ class Graph:
             self.at[a], self.at[b] = (alat, alon), (blat, blon)
         self.back = {(a, b): i for i, (a, b) in enumerate(zip(self.froms, self.tos))}
         # Lengths below the distance of the ends would make that distance too high an estimate; the least ratio mends it.
-        direct = [metres(*e) for e in ends]
-        self.ratio = min([1.0, *(n / d for n, d in zip(self.length.tolist(), direct) if d > 0)])
+        direct, self.lengths = [metres(*e) for e in ends], self.length.tolist()
+        self.ratios = np.array([n / d if d > 0 else 1.0 for n, d in zip(self.lengths, direct)])
+        self.ratio = min([1.0, *self.ratios.tolist()])
         self.estimates: dict[frozenset, dict] = {}
 
-    def distances(self, lat: float, lon: float) -> np.ndarray:
-        """Metres from a point to every road, in a plane around the point."""
-        k = METRES_PER_DEGREE * np.array([1.0, math.cos(math.radians(lat))])
-        a, b = (self.ends[:, :2] - (lat, lon)) * k, (self.ends[:, 2:] - (lat, lon)) * k
+    def distances(self, lat: float, lon: float, own: np.ndarray | None = None) -> np.ndarray:
+        """Metres from a point to every road, or to some, in a plane around the point."""
+        k, ends = METRES_PER_DEGREE * np.array([1.0, math.cos(math.radians(lat))]), self.ends if own is None else self.ends[own]
+        a, b = (ends[:, :2] - (lat, lon)) * k, (ends[:, 2:] - (lat, lon)) * k
         d = b - a
         size = (d * d).sum(1)
         t = np.clip(-(a * d).sum(1) / np.where(size > 0, size, 1), 0, 1)
         return np.sqrt(((a + t[:, None] * d) ** 2).sum(1))
 
-    def path(self, start, goals: set, weight=None) -> list[int] | None:
-        """Roads of a least-cost path from a node to the nearest of some nodes; None if there is none. Estimates never exceed the cost."""
-        weight = (self.length if weight is None else np.asarray(weight)).tolist()
+    def way(self, trip, own: np.ndarray, allowed: bytes, start_m: float, goal_m: float) -> list[int]:
+        """Roads of a shortest way on some roads (their places, and a flag for each road) from near a trip's start to near its home."""
+        near = np.round(self.distances(trip.lat, trip.lon, own), 3)
+        first = int(near.argmin())
+        if not near[first] <= start_m:
+            return []
+        reach = goal_m / 111000.0  # no node is nearer than its way north or south
+        ends = self.ends[own]
+        close = {*self.a[own[np.abs(ends[:, 0] - trip.home_lat) <= reach]].tolist(), *self.b[own[np.abs(ends[:, 2] - trip.home_lat) <= reach]].tolist()}
+        goals = {n for n in close if metres(*self.at[n], trip.home_lat, trip.home_lon) <= goal_m}
+        return self.path(self.tos[own[first]], goals, allowed=allowed, ratio=min(1.0, float(self.ratios[own].min()))) or []
+
+    def path(self, start, goals: set, weight=None, allowed: bytes | None = None, ratio: float | None = None) -> list[int] | None:
+        """Roads of a least-cost path from a node to the nearest of some nodes; None if there is none. Estimates never exceed the cost.
+
+        Roads may be ``allowed`` by a flag for each; ``ratio`` is then the least of theirs.
+        """
+        weight = self.lengths if weight is None else np.asarray(weight).tolist()
         aims = [self.at[g] for g in goals if g in self.at]
         if not aims:
             return None
-        known = self.estimates.setdefault(frozenset(goals), {})
+        known = self.estimates.setdefault(frozenset(goals), {}) if ratio is None else {}
+        ratio = self.ratio if ratio is None else ratio
 
         def ahead(n) -> float:
             if n not in known:
-                known[n] = self.ratio * min(metres(*self.at[n], *g) for g in aims) if n in self.at else 0.0
+                known[n] = ratio * min(metres(*self.at[n], *g) for g in aims) if n in self.at else 0.0
             return known[n]
 
         best, via, done, heap = {start: 0.0}, {}, set(), [(ahead(start), start)]
@@ -109,7 +141,9 @@ class Graph:
                     n = self.froms[via[n]]
                 return found[::-1]
             done.add(n)
-            for i in self.out[n]:
+            for i in self.out.get(n, ()):
+                if allowed is not None and not allowed[i]:
+                    continue
                 m, cost = self.tos[i], best[n] + weight[i]
                 if cost < best.get(m, math.inf):
                     best[m], via[m] = cost, i
@@ -117,24 +151,46 @@ class Graph:
         return None
 
 
+#: A block of trips is so many degrees on a side, or as many doublings of that as its trips' boxes take, and has so many trips.
+BLOCK_DEG = 0.25
+BLOCK_TRIPS = 1000
+
+
+def in_blocks(boxes: DataFrame) -> DataFrame:
+    """Adds ``block``, at most twice as large as the boxes in it, to boxes (trip_id, south, north, west, east); blocks of many boxes are dealt out."""
+    size = f"{BLOCK_DEG}d * pow(2, _level)"
+    level = f"cast(greatest(0, ceil(log2(greatest(north - south, east - west, {BLOCK_DEG}d) / {BLOCK_DEG}d))) as int)"
+    placed = boxes.withColumn("_level", F.expr(level)).selectExpr("*", f"struct(_level, cast(floor(south / ({size})) as long) as row, cast(floor(west / ({size})) as long) as col) as _place").drop("_level")
+    parts = placed.groupBy("_place").agg(F.expr(f"cast(ceil(count(1) / {BLOCK_TRIPS}) as long)").alias("_parts"))
+    return placed.join(parts, "_place").withColumn("block", F.expr("struct(_place._level as level, _place.row as row, _place.col as col, pmod(xxhash64(trip_id), _parts) as part)")).drop("_place", "_parts")
+
+
 def way_home(trips: DataFrame, edges: DataFrame, nodes: DataFrame, margin_m: float = 2000.0, start_m: float = 50.0, goal_m: float = 50.0) -> DataFrame:
     """(trip_id, seq, from_node, to_node, length_m): a shortest way for each trip (trip_id, lat, lon, home_lat, home_lon).
 
     It begins at the end of the road nearest to the start (to the millimetre; then the first by its nodes), which must be within ``start_m``, and ends at the first node
-    within ``goal_m`` of home. Trips without such a way, or already at home, have no rows.
+    within ``goal_m`` of home. Trips without such a way, or already at home, have no rows. A trip searches the roads with an
+    end in its own box; trips whose boxes lie together take them from one block of roads, which is sent once.
     """
-    boxed = box_around(trips, ["lat", "home_lat"], ["lon", "home_lon"], margin_m)
-    roads = roads_in_boxes(boxed, located(edges, nodes), "trip_id").join(trips, "trip_id")
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        t, g = group.iloc[0], Graph(group)
-        near = np.round(g.distances(t.lat, t.lon), 3)
-        first = int(near.argmin())
-        goals = {n for n, p in g.at.items() if metres(*p, t.home_lat, t.home_lon) <= goal_m}
-        found = g.path(g.b[first], goals) or [] if near[first] <= start_m else []
-        return pd.DataFrame({"trip_id": t.trip_id, "seq": range(len(found)), "from_node": g.a[found], "to_node": g.b[found], "length_m": g.length[found]})
-
-    return roads.groupBy("trip_id").applyInPandas(search, "trip_id long, seq int, from_node long, to_node long, length_m double")
+    full = box_around(trips, ["lat", "home_lat"], ["lon", "home_lon"], margin_m)
+    boxed = store(in_blocks(clamped(full.dropDuplicates(["trip_id"]), nodes)))
+    blocks = boxed.groupBy("block").agg(F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
+    roads = roads_in_boxes(blocks.withColumnRenamed("block", "of_block").selectExpr("struct(of_block.*) as of_block", "south", "north", "west", "east"), located(edges, nodes), "of_block")
+
+    def search(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        columns: list[list] = [[], [], [], [], []]
+        if len(near):
+            g = Graph(near)
+            alat, alon, blat, blon = np.ascontiguousarray(g.ends.T)
+            for t in asked.sort_values("trip_id").itertuples(index=False):
+                inside = (alat >= t.south) & (alat <= t.north) & (alon >= t.west) & (alon <= t.east) | (blat >= t.south) & (blat <= t.north) & (blon >= t.west) & (blon <= t.east)
+                own = np.flatnonzero(inside)
+                found = g.way(t, own, inside.tobytes(), start_m, goal_m) if len(own) else []
+                for column, values in zip(columns, ([t.trip_id] * len(found), range(len(found)), [g.froms[i] for i in found], [g.tos[i] for i in found], [g.lengths[i] for i in found])):
+                    column.extend(values)
+        return pd.DataFrame(dict(zip(("trip_id", "seq", "from_node", "to_node", "length_m"), columns)))
+
+    return boxed.groupBy("block").cogroup(roads.groupBy("of_block")).applyInPandas(search, "trip_id long, seq int, from_node long, to_node long, length_m double")
 
 
 def _bearings(lat1, lon1, lat2, lon2) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import geo
 from cadenza.operators import history, loops, paths, roads, tracks
 from cadenza.plans import duck
+from cadenza.plans.lineage import store
 from cadenza.plans.registry import register
 from cadenza.sources import files
 
@@ -43,7 +44,7 @@ register("way_home_length", lambda e, n: paths.way_home(_trips(n), e, n).groupBy
 def _fast_way_home(e, n):
     """The estimates of three paces for each way home, and the share of it that has them."""
     way = paths.way_home(_trips(n), e, n).select("trip_id", "seq", "from_node", "to_node").withColumnRenamed("trip_id", "route")
-    path = way.join(e.drop("is_traversed"), ["from_node", "to_node"])
+    path = store(way.join(e.drop("is_traversed"), ["from_node", "to_node"]))  # read twice
     return roads.ride_estimates(path).join(roads.percentile_coverage(path), "route")
 
 
