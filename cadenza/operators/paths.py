@@ -328,7 +328,7 @@ def loops(plans: DataFrame, edges: DataFrame, nodes: DataFrame, rewards: DataFra
     come first (else 30 %, else all), then higher reward, then a rounder shape. Rewards: (from_node, to_node, reward).
     """
     boxed = plans.withColumn("_pad", F.col("target_m") / (4 * METRES_PER_DEGREE)).selectExpr("plan_id", "lat - _pad as south", "lat + _pad as north", "lon - _pad / cos(radians(lat)) as west", "lon + _pad / cos(radians(lat)) as east")
-    roads = roads_in_boxes(boxed, located(edges, nodes), "plan_id").join(rewards.select("from_node", "to_node", "reward"), ["from_node", "to_node"], "left").join(plans, "plan_id")
+    roads = roads_in_boxes(clamped(boxed, nodes), located(edges, nodes), "plan_id").join(rewards.select("from_node", "to_node", "reward"), ["from_node", "to_node"], "left").join(plans, "plan_id")
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         p, g = group.iloc[0], Graph(group)
