@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions import geo
+from cadenza.operators import likeness
 from cadenza.operators.components import connected_components
 from cadenza.operators.folds import folded
 from cadenza.plans.lineage import discard, store
@@ -124,11 +125,20 @@ def track_summaries(points: DataFrame, least_points: int = 4, least_m: float = 1
 
 def route_pairs(points: DataFrame, step_m: float = 50.0, radius_m: float = 25.0, least: float = 0.85, apart_m: float = 3000.0) -> DataFrame:
     """(a, b, share), a < b: rides on the same route: close in place and length, and one's samples covered by the other's points."""
-    pairs = store(candidate_pairs(track_summaries(points), apart_m))
-    both = pairs.unionByName(pairs.selectExpr("b as a", "a as b"))
-    c = coverage(resample(points, step_m), points, both, radius_m)
-    per = c.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share").groupBy("a", "b").agg(F.max("share").alias("share"))
-    return per.where(F.col("share") >= least)
+    found = likeness.mutual_coverage(track_summaries(points), resample(points, step_m), points, radius_m, apart_m)
+    return found.select("a", "b", F.greatest(F.round(F.expr("hits_a / n_a"), 6), F.round(F.expr("hits_b / n_b"), 6)).alias("share")).where(F.col("share") >= least)
+
+
+def route_links(points: DataFrame, step_m: float = 50.0, radius_m: float = 25.0, least: float = 0.85, apart_m: float = 3000.0) -> DataFrame:
+    """(a, b): enough of ``route_pairs`` to join the same rides into groups."""
+    return likeness.mutual_coverage(track_summaries(points), resample(points, step_m), points, radius_m, apart_m, least=least).select("a", "b")
+
+
+def route_coverage(points: DataFrame, step_m: float = 50.0, radius_m: float = 25.0, apart_m: float = 3000.0) -> DataFrame:
+    """(a, b, share): the share of a's samples near b, for rides close in place and length; pairs without any have no row."""
+    found = likeness.mutual_coverage(track_summaries(points), resample(points, step_m), points, radius_m, apart_m)
+    both = found.selectExpr("inline(array(struct(a, b, hits_a as h, n_a as n), struct(b as a, a as b, hits_b as h, n_b as n)))")
+    return both.where("h > 0").select("a", "b", F.round(F.expr("h / n"), 6).alias("share"))
 
 
 def interval_tracks_summary(points: DataFrame) -> DataFrame:
@@ -159,9 +169,15 @@ def interval_matches(left: DataFrame, right: DataFrame, radius_m: float = 20.0,
     return hit_a.join(hit_b, ["a", "b"]).where(F.greatest("share_a", "share_b") >= least).select("a", "b")
 
 
-def interval_pairs(points: DataFrame, **limits) -> DataFrame:
+def interval_pairs(points: DataFrame, radius_m: float = 20.0, tolerance_m: float = 100.0, least: float = 0.8) -> DataFrame:
     """(a, b), a < b: pairs of intervals on the same stretch of road."""
-    return interval_matches(points, points, **limits).where("a < b")
+    found = likeness.interval_hits(points, interval_tracks_summary(points), radius_m, tolerance_m)
+    return found.where(F.expr("greatest(hits_a / n_a, hits_b / n_b)") >= least).select("a", "b")
+
+
+def interval_links(points: DataFrame, radius_m: float = 20.0, tolerance_m: float = 100.0, least: float = 0.8) -> DataFrame:
+    """(a, b): enough of ``interval_pairs`` to join the same intervals into groups."""
+    return likeness.interval_hits(points, interval_tracks_summary(points), radius_m, tolerance_m, least).select("a", "b")
 
 
 def interval_clusters(points: DataFrame, pairs: DataFrame, cell_m: float = 5000.0) -> DataFrame:

@@ -129,20 +129,15 @@ CHAIN = f"""WITH along_ AS ({ALONG}), sampled AS ({SAMPLED}), tr AS (SELECT sess
 PAIRS = "SELECT least(a, b) AS a, greatest(a, b) AS b, max(share) AS share FROM cov GROUP BY 1, 2 HAVING max(share) >= 85e-2"
 
 
-def _coverage(p):
-    pairs = t.candidate_pairs(t.track_summaries(p))
-    return t.coverage(t.resample(p, 50.0), p, pairs.unionByName(pairs.selectExpr("b as a", "a as b")), 25.0)
-
-
-register("coverage_similarity", _coverage, P, f"{CHAIN} SELECT * FROM cov")
+register("coverage_similarity", t.route_coverage, P, f"{CHAIN} SELECT * FROM cov")
 register("route_pairs", t.route_pairs, P, f"{CHAIN} {PAIRS}")
-register("route_clusters", lambda p: t.clusters(t.route_pairs(p), 3), P, f"""WITH RECURSIVE {CHAIN[5:]}, pairs AS ({PAIRS}), e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON e.a = r.y)
+register("route_clusters", lambda p: t.clusters(t.route_links(p), 3), P, f"""WITH RECURSIVE {CHAIN[5:]}, pairs AS ({PAIRS}), e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON e.a = r.y)
   SELECT root, x AS member FROM (SELECT x, min(y) AS root FROM reach GROUP BY 1) q QUALIFY count(*) OVER (PARTITION BY root) >= 3""")
 IV = f"""iv AS (SELECT interval_id, sum({duck.hav('a', 'b', 'lat', 'lon')}) AS m, count(*) AS n, min(lat) AS s, min(lon) AS w, max(lat) AS t, max(lon) AS e FROM (SELECT *, lag(lat) OVER (PARTITION BY interval_id ORDER BY idx) AS a, lag(lon) OVER (PARTITION BY interval_id ORDER BY idx) AS b FROM interval_points) q GROUP BY 1 HAVING count(*) >= 2),
   near AS (SELECT x.interval_id AS a, y.interval_id AS b, x.idx AS ka, y.idx AS kb, p.n AS na, q.n AS nb FROM iv p JOIN iv q ON p.interval_id <> q.interval_id AND abs(p.m - q.m) <= 100 AND p.s <= q.t + 1e-3 AND q.s <= p.t + 1e-3 JOIN interval_points x ON x.interval_id = p.interval_id JOIN interval_points y ON y.interval_id = q.interval_id AND abs(x.lat - y.lat) < 1e-3 AND {NEAR} <= 20),
   qual AS (SELECT a, b FROM near GROUP BY 1, 2 HAVING greatest(count(DISTINCT ka) / any_value(na), count(DISTINCT kb) / any_value(nb)) >= 8e-1)"""
 register("interval_pairs", t.interval_pairs, "interval_points", f"WITH {IV} SELECT a, b FROM qual WHERE a < b")
-register("interval_clusters", lambda p: t.interval_clusters(p, t.interval_pairs(p)).selectExpr("root", "member", "representative", "round(south, 6) as south", "round(west, 6) as west", "round(north, 6) as north", "round(east, 6) as east", "cell_row", "cell_col"), "interval_points",
+register("interval_clusters", lambda p: t.interval_clusters(p, t.interval_links(p)).selectExpr("root", "member", "representative", "round(south, 6) as south", "round(west, 6) as west", "round(north, 6) as north", "round(east, 6) as east", "cell_row", "cell_col"), "interval_points",
   f"""WITH RECURSIVE {IV}, reach(x, y) AS (SELECT interval_id, interval_id FROM iv UNION SELECT r.x, qual.b FROM reach r JOIN qual ON qual.a = r.y), c AS (SELECT x AS member, min(y) AS root FROM reach GROUP BY 1),
   d AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY m, member) - 1 AS k, count(*) OVER (PARTITION BY root) AS size FROM c JOIN iv ON interval_id = member),
   g AS (SELECT root, max(member) FILTER (k = size // 2) AS representative, min(s) AS s, min(w) AS w, max(t) AS t, max(e) AS e FROM d GROUP BY root)
