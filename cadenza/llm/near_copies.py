@@ -25,7 +25,8 @@ class NearCopies:
 
     ``block``: rows that one task compares with each other. ``common``: a shingle that begins more than so many
     documents' prefixes counts as common and goes last in the order; at most ``max_common`` are kept in memory for that.
-    Neither changes the result. ``send_ids``: up to so many candidates their keys (8 bytes each) are broadcast.
+    Neither changes the result. ``send_ids``: up to so many rows are broadcast, of dropped keys, or of candidates
+    with each group that they are compared in (8 MB for 52,974 of these); more are joined by shuffle.
     """
 
     k: int = 5
@@ -117,7 +118,9 @@ def _sets(rows: DataFrame, config: NearCopies, common: np.ndarray | None, whole:
     """doc_id, text_id, node (63 bits that name the set; null: empty), n, and tokens: the whole set, or its prefix.
 
     Copies within a slice of a batch share a node, of which only the first carries tokens; the others have null.
+    Columns of ``rows`` after the text follow as they are.
     """
+    added = rows.columns[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -131,9 +134,10 @@ def _sets(rows: DataFrame, config: NearCopies, common: np.ndarray | None, whole:
                 take = np.where(fresh, n if whole else prefix_length(n, config.percent), 0)
                 mask = np.arange(len(flat)) - np.repeat(ends - n, n) < np.repeat(take, n)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(flat[mask]), mask=pa.array(~fresh))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.int64()), pa.array(n, pa.int64()), tokens], names=["doc_id", "text_id", "node", "n", "tokens"])
+                kept = [batch.column(3 + i) for i in range(len(added))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(name, pa.int64()), pa.array(n, pa.int64()), tokens, *kept], names=["doc_id", "text_id", "node", "n", "tokens", *added])
 
-    return rows.mapInArrow(run, "doc_id bigint, text_id bigint, node bigint, n bigint, tokens array<bigint>")
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint, text_id bigint, node bigint, n bigint, tokens array<bigint>", *(f"{c} {kind}" for c, kind in rows.dtypes[3:])]))
 
 
 def _by_node(sets: DataFrame) -> DataFrame:
@@ -233,22 +237,46 @@ def _compare(left, right, percent: int, same: bool) -> list[tuple]:
     return forest(good, [ids_a[i] for i in ia], [ids_b[i] for i in ib])
 
 
-def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> tuple[DataFrame, list[DataFrame]]:
-    """Links between the nodes of each group (leader, node), and the tables stored for them; ``whole`` has each node's tokens."""
+def _whole_sets(rows: DataFrame, members: DataFrame, known: DataFrame, config: NearCopies) -> DataFrame:
+    """(node, tokens, small, large), stored: each node of ``known`` once, with its whole set and its groups.
+
+    One document speaks for each node. Its key takes the groups to the text, so the sets, which are far larger, need
+    not be shuffled to find them. ``small`` has leaders of groups of up to ``block``, ``large`` those of others with their members.
+    """
+    is_small = F.col("members") <= config.block
+    groups = known.groupBy("node").agg(F.collect_list(F.when(is_small, F.col("leader"))).alias("small"), F.collect_list(F.when(~is_small, F.struct("leader", "members"))).alias("large"))
+    times = members.join(known.select("node").distinct(), "node", "left_semi").groupBy("node", "doc_id", "text_id").agg(F.count(F.lit(1)).alias("times"))
+    least = times.groupBy("node").agg(F.min(F.struct("doc_id", "text_id", "times")).alias("s"))
+    speaker = store(least.join(groups, "node").select("s.*", "small", "large"))
+    side = F.broadcast(speaker) if known.count() <= config.send_ids else speaker
+
+    def sets(which: str) -> DataFrame:
+        found = _sets(rows.join(side.where(which), ["doc_id", "text_id"]), config, None, True)
+        return found.where("tokens is not null").select("node", "tokens", "small", "large")
+
+    whole = sets("times = 1")
+    if not speaker.where("times > 1").isEmpty():
+        # Rows that repeat the speaker's carry the same set.
+        whole = whole.unionByName(sets("times > 1").groupBy("node").agg(*[F.first(c).alias(c) for c in ("tokens", "small", "large")]))
+    whole = store(whole)
+    discard(speaker)
+    return whole
+
+
+def _links(known: DataFrame, whole: DataFrame, config: NearCopies) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between the nodes of each group of ``known``, and the tables stored for them; ``whole`` has each node's tokens and groups."""
     percent, block = config.percent, config.block
-    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
-    known = store(join_hot(groups, sizes, "leader"))
-    small = known.where(F.col("members") <= block).select("leader", "node").join(whole, "node")
+    small = whole.select(F.explode("small").alias("leader"), "node", "tokens")
 
     def within(table: pa.Table) -> pa.Table:
         rows = _rows(table)
         return _link_table(_compare(rows, rows, percent, True))
 
     links = small.groupBy("leader").applyInArrow(within, _LINKS)
-    large = known.where(F.col("members") > block)
-    if large.isEmpty():
-        return links, [known]
-    large = store(large.select("leader", "node", "members", (F.col("node") == F.col("leader")).alias("lead")).join(whole, "node"))
+    if known.where(F.col("members") > block).isEmpty():
+        return links, []
+    large = whole.select(F.explode("large").alias("group"), "node", "tokens")
+    large = store(large.select("group.leader", "node", "group.members", (F.col("node") == F.col("group.leader")).alias("lead"), "tokens"))
     # Large groups first shrink: chunk by chunk all members are compared with the leader. What links with it is one
     # component and needs no comparison within. Distances are a metric, so a member at distance d from the leader
     # can only link with linked members whose own distance is at least d less the link distance.
@@ -296,7 +324,7 @@ def _links(groups: DataFrame, whole: DataFrame, config: NearCopies) -> tuple[Dat
                 found += [(a, b) for a, b in _compare(tuple(x[up : up + block] for x in left), cut, percent, False) if a != b]
         return _link_table(found)
 
-    return links.unionByName(both.groupBy(*cell).applyInArrow(across, _LINKS)), [known, large, stored_near, counts, tagged, cells]
+    return links.unionByName(both.groupBy(*cell).applyInArrow(across, _LINKS)), [large, stored_near, counts, tagged, cells]
 
 
 def _grouped(docs: DataFrame, config: NearCopies) -> DataFrame:
@@ -304,9 +332,10 @@ def _grouped(docs: DataFrame, config: NearCopies) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
     sets = store(_sets(rows, config, None, False))
     members = store(sets.select("doc_id", "text_id", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "n"))
-    counts = _by_node(sets).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > config.common)
+    # Stored, small as it is, since that frees its shuffle files: those of collect() would stay on disk to the end.
+    counts = store(_by_node(sets).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > config.common))
     common = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("c"), "token").limit(config.max_common).select("token").collect()], np.int64))
-    discard(sets)
+    discard(sets, counts)
     nodes = store(_by_node(_sets(rows, config, common, False)))
     placed, standing = nodes.select("node", F.explode("tokens").alias("token")), None
     for _ in range(2):
@@ -322,18 +351,14 @@ def _grouped(docs: DataFrame, config: NearCopies) -> DataFrame:
     leaders = standing.groupBy("token").agg(F.min(F.struct("alone", "n", "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
     every = store(standing.select("token", "node").join(leaders, "token").select("leader", "node").distinct())
     discard(standing)
+    sizes = every.groupBy("leader").agg(F.count(F.lit(1)).alias("members"))
     # A group of one has nothing to compare.
-    groups = store(every.join(every.where("node <> leader").select("leader").distinct(), "leader", "left_semi"))
+    known = store(join_hot(every, sizes, "leader").where("members > 1"))
     discard(every)
-    wanted = groups.select("node").distinct()
-    speaker = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_id")).alias("s")).select("s.doc_id", "s.text_id")
-    speaker = store(speaker)
-    side = F.broadcast(speaker) if speaker.count() <= config.send_ids else speaker
-    texts = rows.join(side, ["doc_id", "text_id"], "left_semi")
-    whole = store(_by_node(_sets(texts, config, None, True)).select("node", "tokens"))
-    links, scratch = _links(groups, whole, config)
+    whole = _whole_sets(rows, members, known, config)
+    links, scratch = _links(known, whole, config)
     roots = connected_components(links)
-    discard(whole, groups, speaker, *scratch)
+    discard(whole, known, *scratch)
     own = members.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_id")).alias("least"))
     linked = store(own.join(roots, "node", "left"))
     firsts = store(linked.where("root is not null").groupBy("root").agg(F.min("least").alias("first")))
