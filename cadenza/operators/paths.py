@@ -10,10 +10,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
-from itertools import groupby
+from itertools import chain, combinations, groupby, permutations, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +166,12 @@ def in_blocks(boxes: DataFrame) -> DataFrame:
     return placed.join(parts, "_place").withColumn("block", F.expr("struct(_place._level as level, _place.row as row, _place.col as col, pmod(xxhash64(trip_id), _parts) as part)")).drop("_place", "_parts")
 
 
+def block_boxes(boxed: DataFrame) -> DataFrame:
+    """The box (of_block, south, north, west, east) around all boxes of each block (``in_blocks``)."""
+    blocks = boxed.groupBy("block").agg(F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
+    return blocks.withColumnRenamed("block", "of_block").selectExpr("struct(of_block.*) as of_block", "south", "north", "west", "east")
+
+
 def way_home(trips: DataFrame, edges: DataFrame, nodes: DataFrame, margin_m: float = 2000.0, start_m: float = 50.0, goal_m: float = 50.0) -> DataFrame:
     """(trip_id, seq, from_node, to_node, length_m): a shortest way for each trip (trip_id, lat, lon, home_lat, home_lon).
 
@@ -174,8 +181,7 @@ def way_home(trips: DataFrame, edges: DataFrame, nodes: DataFrame, margin_m: flo
     """
     full = box_around(trips, ["lat", "home_lat"], ["lon", "home_lon"], margin_m)
     boxed = store(in_blocks(clamped(full.dropDuplicates(["trip_id"]), nodes)))
-    blocks = boxed.groupBy("block").agg(F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
-    roads = roads_in_boxes(blocks.withColumnRenamed("block", "of_block").selectExpr("struct(of_block.*) as of_block", "south", "north", "west", "east"), located(edges, nodes), "of_block")
+    roads = roads_in_boxes(block_boxes(boxed), located(edges, nodes), "of_block")
 
     def search(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         columns: list[list] = [[], [], [], [], []]
@@ -319,6 +325,210 @@ def match_coverage(points: DataFrame, chunks: DataFrame, matched: DataFrame, ste
     return rows.withColumn("percent", F.expr("coalesce(least(1e2, greatest(0e0, matched_m / distance_m * 1e2)), 0e0)"))
 
 
+#: What is known of ways to stops is dropped beyond so many nodes, to bound a task's memory.
+KNOWN_NODES = 2_000_000
+MOST_TASKS = 2000
+AROUND = ((True, True), (True, False), (False, False), (False, True))
+
+
+class RoundTrips:
+    """Round trips of plans that lie together, on the roads of one block; each plan keeps to the roads with an end in its own box.
+
+    The length that is left to a stop on all roads of the block bounds that on any of them from below, so plans share it: a
+    search then follows little more than the way that it finds. A way that meets no dear road is the same as if none were.
+    """
+
+    def __init__(self, near: pd.DataFrame, reuse: float):
+        g = Graph(near)
+        self.g, self.reuse = g, reuse
+        self.gain = g.roads["reward"].fillna(0.0).to_numpy(float)
+        self.ids, ends = np.unique(np.concatenate([g.a, g.b]), return_inverse=True)
+        self.a, self.b = ends[:len(g.a)], ends[len(g.a):]
+        self.froms, self.tos, self.gains = self.a.tolist(), self.b.tolist(), self.gain.tolist()
+        self.at = [g.at[n] for n in self.ids.tolist()]
+        self.places = np.array(self.at)
+        self.out, self.into = [[] for _ in self.at], [[] for _ in self.at]
+        for i, (a, b, n) in enumerate(zip(self.froms, self.tos, g.lengths)):
+            self.out[a].append((b, i, n))
+            self.into[b].append((a, i, n))
+        twins = [g.back.get((b, a)) for a, b in zip(g.froms, g.tos)]
+        self.both = [(i,) if j is None else (i, j) for i, j in enumerate(twins)]
+        self.street = [min(x) for x in self.both]
+        self.leaving = [frozenset(i for _, i, _ in roads) for roads in self.out]
+        self.known, self.n_known = {}, 0
+
+    def to_go(self, goal: int, start: int) -> tuple[dict[int, float], float]:
+        """Least metres to ``goal`` from ``start``, if it is reached, and from all nodes nearer; no other has less than the second number."""
+        if goal not in self.known:
+            if self.n_known > KNOWN_NODES:
+                self.known, self.n_known = {}, 0
+            self.known[goal] = {goal: 0.0}, {}, [(0.0, goal)]
+        best, done, heap = self.known[goal]
+        while heap and start not in done:
+            d, n = heapq.heappop(heap)
+            if n in done:
+                continue
+            done[n] = d
+            self.n_known += 1
+            for m, _, size in self.into[n]:
+                if d + size < best.get(m, math.inf):
+                    best[m] = d + size
+                    heapq.heappush(heap, (d + size, m))
+        return done, heap[0][0] if heap else math.inf
+
+    def straight(self, start: int, goal: int, own: bytes) -> tuple[int, ...] | None:
+        """Roads of the shortest way in the block, if no other is as short and all are own; None tells nothing."""
+        (left, _), n, found = self.to_go(goal, start), start, []
+        if start not in left:
+            return None
+        while n != goal:
+            first = second = math.inf
+            for m, i, size in self.out[n]:
+                all_of_it = size + left.get(m, math.inf)
+                if all_of_it < first:
+                    first, second, road, following = all_of_it, first, i, m
+                elif all_of_it < second:
+                    second = all_of_it
+            if second <= first * (1 + 1e-9) or not own[road]:
+                return None
+            found.append(road)
+            n = following
+        return tuple(found)
+
+    def way(self, start: int, goal: int, own: bytes, ratio: float, taken: frozenset, looked: list | None = None) -> tuple[int, ...] | None:
+        """Roads of a least-cost way on own roads, where those taken are dear; ``looked`` gets the nodes whose roads count.
+
+        Of ways alike, each node takes the one before it that lies best by air.
+        """
+        (left, far), reuse = self.to_go(goal, start), self.reuse
+        if start not in left:
+            return None
+        ahead = left.get
+        best, via, ties, heap, limit = {start: 0.0}, {}, {}, [(left[start], 0.0, start)], math.inf
+        looked = [] if looked is None else looked
+        while heap:
+            f, d, n = heapq.heappop(heap)
+            if f > limit:
+                break
+            if n == goal:
+                limit = min(limit, d * (1 + 1e-12))  # all ways as short are looked at
+                continue
+            if d > best[n]:
+                continue
+            looked.append(n)
+            for m, i, size in self.out[n]:
+                if own[i]:
+                    cost = d + (reuse * size if i in taken else size)
+                    old = best.get(m, math.inf)
+                    if cost < old:
+                        best[m], via[m] = cost, i
+                        if ties:
+                            ties.pop(m, None)
+                        heapq.heappush(heap, (cost + ahead(m, far), cost, m))
+                    elif cost == old and cost > d:
+                        ties.setdefault(m, [via[m]] if m in via else []).append(i)
+        if goal not in best:
+            return None
+        found, n = [], goal
+        while n != start:
+            i = via[n]
+            if n in ties:
+                i = min(ties[n], key=lambda j: (best[self.froms[j]] + ratio * metres(*self.at[self.froms[j]], *self.at[goal]), self.froms[j]))
+            found.append(i)
+            n = self.froms[i]
+        return tuple(found[::-1])
+
+    def stops(self, p, own: np.ndarray, per_quadrant: int) -> tuple[int, list[list[int]]]:
+        """A plan's home node and the anchors of each quadrant."""
+        nodes = np.unique(np.concatenate([self.a[own], self.b[own]])).tolist()
+        off = {n: metres(*self.at[n], p.lat, p.lon) for n in nodes}
+        home = min(nodes, key=lambda n: (off[n], n))
+        worth = np.bincount(self.b[own], weights=self.gain[own], minlength=len(self.at)).tolist()
+        top, reach, quadrants = max(max(worth), 1e-9), 0.1442 * p.target_m, defaultdict(list)
+        for n in nodes:
+            if n != home and 0.5 * reach <= off[n] <= 2 * reach:
+                lat, lon = self.at[n]
+                quadrants[(lon >= p.lon, lat >= p.lat)].append((-(1 - abs(off[n] - reach) / reach) - 0.1 * worth[n] / top, n))
+        return home, [[n for _, n in heapq.nsmallest(per_quadrant, quadrants[q])] for q in AROUND]
+
+    def trips(self, p, per_quadrant: int, apart_m: float) -> tuple[int, list[tuple[int, ...]]]:
+        """A plan's home node and its different round trips, as roads."""
+        alat, alon, blat, blon = self.g.ends.T
+        inside = (alat >= p.south) & (alat <= p.north) & (alon >= p.west) & (alon <= p.east) | (blat >= p.south) & (blat <= p.north) & (blon >= p.west) & (blon <= p.east)
+        places = np.flatnonzero(inside)
+        if not len(places):
+            return -1, []
+        own, ratio = inside.tobytes(), min(1.0, float(self.g.ratios[places].min()))
+        home, anchors = self.stops(p, places, per_quadrant)
+        flat = [n for ns in anchors for n in ns]
+        close = {(x, y) for x, y in permutations(flat, 2) if metres(*self.at[x], *self.at[y]) < apart_m}
+        plain: dict[tuple, tuple | None] = {}
+        searched: dict[tuple, list] = {}  # roads that a search looked at, those dear among them, and what it found
+        ridden: dict[tuple, tuple | None] = {(home,): (frozenset(), ())}
+
+        def ride(stops: tuple) -> tuple | None:
+            """Roads that are dear now, and the trip so far; what trips that begin alike share is kept."""
+            if stops not in ridden:
+                before, (a, b), leg = ride(stops[:-1]), stops[-2:], None
+                if before is not None:
+                    if (a, b) not in plain:
+                        plain[a, b] = self.straight(a, b, own) or self.way(a, b, own, ratio, frozenset())
+                        searched[a, b] = []
+                    leg, taken = plain[a, b], before[0]
+                    if leg is not None and not taken.isdisjoint(leg):
+                        leg = next((x for seen, met, x in searched[a, b] if taken & seen == met), None)
+                        if leg is None:
+                            looked: list[int] = []
+                            leg = self.way(a, b, own, ratio, taken, looked)
+                            seen = self.leaving[looked[0]].union(*[self.leaving[n] for n in looked[1:]])
+                            searched[a, b].append((seen, taken & seen, leg))
+                last = b == home  # nothing follows that would ask what is dear
+                ridden[stops] = None if leg is None else (taken if last else taken.union(*[self.both[i] for i in leg]), before[1] + leg)
+            return ridden[stops]
+
+        found: dict[tuple, None] = {}
+        for combo in product(*[[None, *ns] for ns in anchors]):
+            stops = tuple(n for n in combo if n is not None)
+            if len(stops) < 2 or any(x in close for x in combinations(stops, 2)):
+                continue
+            for order in (stops, stops[::-1]):
+                trip = ride((home, *order, home))
+                if trip and trip[1]:
+                    found[trip[1]] = None
+        return home, list(found)
+
+    def ranked(self, p, home: int, trips: list[tuple[int, ...]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Numbers of a plan's trips (place, length, reward, share ridden again, compactness), how many nodes each has, and these, best trip first."""
+        sizes = np.array([len(t) for t in trips])
+        starts, flat = np.cumsum(sizes) - sizes, np.fromiter(chain.from_iterable(trips), np.int64, int(sizes.sum()))
+        length = np.add.reduceat(self.g.length[flat], starts)
+        reward = np.array([sum(map(self.gains.__getitem__, set(t))) for t in trips])
+        again = np.array([self.repeated(t) for t in trips]) / length
+        y, x = ((self.places - (p.lat, p.lon)) * METRES_PER_DEGREE).T
+        x = x * math.cos(math.radians(p.lat))
+        a, b = self.a[flat], self.b[flat]
+        area = np.abs(np.add.reduceat(x[a] * y[b] - x[b] * y[a], starts)) / 2
+        shape, off = 4 * math.pi * area / length**2, np.abs(length - p.target_m) / p.target_m
+        tier = np.where(off <= 0.15, 0, np.where(off <= 0.3, 1, 2))
+        keys = list(zip(tier.tolist(), (-reward).tolist(), np.round(again - shape, 12).tolist(), trips))  # the same roads begun elsewhere tie
+        order = np.array(sorted(range(len(trips)), key=keys.__getitem__))
+        nodes = np.fromiter(chain.from_iterable(trips[k] for k in order.tolist()), np.int64, len(flat))
+        begun = np.cumsum(sizes[order]) - sizes[order]
+        nodes = np.insert(self.ids[self.b[nodes]], begun, self.ids[home])
+        return [np.arange(1, len(trips) + 1), *[v[order] for v in (length, reward, again, shape)]], sizes[order] + 1, nodes
+
+    def repeated(self, trip: tuple[int, ...]) -> float:
+        """Metres on roads already ridden, either way."""
+        streets = [self.street[i] for i in trip]
+        if len(set(streets)) == len(streets):
+            return 0.0
+        first, again = set(), 0.0
+        for i, k in zip(trip, streets):
+            again += self.g.lengths[i] if k in first else 0.0
+            first.add(k)
+        return again
+
+
 def loops(plans: DataFrame, edges: DataFrame, nodes: DataFrame, rewards: DataFrame, per_quadrant: int = 2, reuse: float = 5.0, apart_m: float = 1000.0) -> DataFrame:
     """(plan_id, place, length_m, reward, repeat_fraction, compactness, nodes): round trips ranked for each plan (plan_id, lat, lon, target_m).
 
@@ -326,76 +536,31 @@ def loops(plans: DataFrame, edges: DataFrame, nodes: DataFrame, rewards: DataFra
     none; combinations of two or more, at least ``apart_m`` from one another, are ridden in turn around home both ways.
     Legs are least-cost paths on which roads already taken, either way, cost ``reuse`` times their length. Trips within 15 % of the target
     come first (else 30 %, else all), then higher reward, then a rounder shape. Rewards: (from_node, to_node, reward).
+    A plan searches the roads with an end in its own box; plans whose boxes lie together take them from one block of roads.
     """
-    boxed = plans.withColumn("_pad", F.col("target_m") / (4 * METRES_PER_DEGREE)).selectExpr("plan_id", "lat - _pad as south", "lat + _pad as north", "lon - _pad / cos(radians(lat)) as west", "lon + _pad / cos(radians(lat)) as east")
-    roads = roads_in_boxes(clamped(boxed, nodes), located(edges, nodes), "plan_id").join(rewards.select("from_node", "to_node", "reward"), ["from_node", "to_node"], "left").join(plans, "plan_id")
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        p, g = group.iloc[0], Graph(group)
-        gain = g.roads["reward"].fillna(0.0).to_numpy(float)
-        home = min(g.at, key=lambda n: (metres(*g.at[n], p.lat, p.lon), n))
-        worth = defaultdict(float)
-        for i, n in enumerate(g.b):
-            worth[n] += gain[i]
-        top, reach, quadrants = max([*worth.values(), 1e-9]), 0.1442 * p.target_m, defaultdict(list)
-        for n, (lat, lon) in g.at.items():
-            north, east, d = lat >= p.lat, lon >= p.lon, metres(lat, lon, p.lat, p.lon)
-            if n != home and 0.5 * reach <= d <= 2 * reach:
-                quadrants[(east, north)].append((-(1 - abs(d - reach) / reach) - 0.1 * worth[n] / top, n))
-        around = [(True, True), (True, False), (False, False), (False, True)]
-        options = [[None, *[n for _, n in sorted(quadrants[q])[:per_quadrant]]] for q in around]
-        trips, seen, ridden = [], set(), {}
-        for combo in np.stack(np.meshgrid(*[np.arange(len(o)) for o in options], indexing="ij"), -1).reshape(-1, 4):
-            stops = [o[k] for o, k in zip(options, combo) if o[k] is not None]
-            close = any(metres(*g.at[x], *g.at[y]) < apart_m for j, x in enumerate(stops) for y in stops[:j])
-            if len(stops) < 2 or close:
-                continue
-            for order in (stops, stops[::-1]):
-                trip = self_avoiding(g, [home, *order, home], reuse, ridden)
-                if trip and tuple(trip) not in seen:
-                    seen.add(tuple(trip))
-                    trips.append(trip)
-        rows = []
-        for trip in trips:
-            length = g.length[trip].sum()
-            first, again = set(), 0.0
-            for i in trip:
-                a, b = g.froms[i], g.tos[i]
-                road = (a, b) if a < b else (b, a)
-                again += float(g.length[i]) if road in first else 0.0
-                first.add(road)
-            y, x = (np.array([g.at[g.froms[i]] for i in trip]) - (p.lat, p.lon)).T * METRES_PER_DEGREE
-            x = x * math.cos(math.radians(p.lat))
-            area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
-            off = abs(length - p.target_m) / p.target_m
-            tier = 0 if off <= 0.15 else 1 if off <= 0.3 else 2
-            reward, shape = float(gain[list(set(trip))].sum()), 4 * math.pi * area / length**2
-            rows.append(((tier, -reward, again / length - shape, tuple(trip)), length, reward, again / length, shape, [home, *[g.tos[i] for i in trip]]))
-        rows.sort(key=lambda r: r[0])
-        data = [(p.plan_id, k + 1, *r[1:]) for k, r in enumerate(rows)]
-        return pd.DataFrame(data, columns=["plan_id", "place", "length_m", "reward", "repeat_fraction", "compactness", "nodes"])
-
-    return roads.groupBy("plan_id").applyInPandas(plan, "plan_id long, place int, length_m double, reward double, repeat_fraction double, compactness double, nodes array<long>")
-
-
-def self_avoiding(g: Graph, stops: list, reuse: float, ridden: dict | None = None) -> list[int] | None:
-    """Roads from stop to stop, those already taken made dear; ``ridden`` keeps what trips that begin alike share."""
-    ridden = {} if ridden is None else ridden
-    weight, trip = g.length, []
-    for k in range(2, len(stops) + 1):
-        key = tuple(stops[:k])
-        if key not in ridden:
-            leg = g.path(stops[k - 2], {stops[k - 1]}, weight)
-            if leg is None:
-                ridden[key] = None
-            else:
-                dear = weight.copy()
-                for i in leg:
-                    for j in (i, g.back.get((g.tos[i], g.froms[i]))):
-                        if j is not None:
-                            dear[j] = reuse * g.length[j]
-                ridden[key] = dear, trip + leg
-        if ridden[key] is None:
-            return None
-        weight, trip = ridden[key]
-    return trip
+    boxed = plans.withColumn("_pad", F.col("target_m") / (4 * METRES_PER_DEGREE)).selectExpr("plan_id as trip_id", "lat", "lon", "target_m", "lat - _pad as south", "lat + _pad as north", "lon - _pad / cos(radians(lat)) as west", "lon + _pad / cos(radians(lat)) as east")
+    boxed = store(in_blocks(clamped(boxed.dropDuplicates(["trip_id"]), nodes)))
+    roads = roads_in_boxes(block_boxes(boxed), located(edges, nodes), "of_block").join(rewards.select("from_node", "to_node", "reward"), ["from_node", "to_node"], "left")
+    columns = {"place": pa.int32(), **dict.fromkeys(("length_m", "reward", "repeat_fraction", "compactness"), pa.float64())}
+
+    def plan(asked: pa.Table, near: pa.Table) -> pa.Table:
+        keys, found, sizes, visited = [], [[np.array([])] for _ in columns], [np.array([0], np.int64)], [np.array([], np.int64)]
+        if near.num_rows:
+            plans_here = asked.drop_columns(["block"]).to_pandas().sort_values("trip_id")
+            block = RoundTrips(near.drop_columns(["of_block"]).to_pandas(), reuse)
+            for p in plans_here.itertuples(index=False):
+                home, trips = block.trips(p, per_quadrant, apart_m)
+                if trips:
+                    values, counts, ids = block.ranked(p, home, trips)
+                    keys.append(np.full(len(trips), p.trip_id))
+                    sizes.append(counts)
+                    visited.append(ids)
+                    for column, v in zip(found, values):
+                        column.append(v)
+        data = {"plan_id": pa.array(np.concatenate(keys) if keys else [], pa.int64())}
+        data |= {name: pa.array(np.concatenate(v), kind, safe=False) for (name, kind), v in zip(columns.items(), found)}
+        return pa.table(data | {"nodes": pa.ListArray.from_arrays(np.cumsum(np.concatenate(sizes)).astype(np.int32), pa.array(np.concatenate(visited)))})
+
+    # A block is seconds of work on few bytes, by which Spark would put many into one task.
+    tasks = min(MOST_TASKS, max(1, boxed.select("block").distinct().count()))
+    return boxed.repartition(tasks, "block").groupBy("block").cogroup(roads.repartition(tasks, "of_block").groupBy("of_block")).applyInArrow(plan, "plan_id long, place int, length_m double, reward double, repeat_fraction double, compactness double, nodes array<long>")
