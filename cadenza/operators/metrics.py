@@ -241,10 +241,11 @@ def intervals(points: DataFrame, ftp: float = 150, window: int = 15, rest: int =
     last = running.selectExpr("session_id", "idx as end_idx", "s_p as p1", "s_v as v1", "s_k as k1", "s_step as d1", "m as m1", "lat as end_lat", "lon as end_lon")
     out = spans.join(first, ["session_id", "start_idx"]).join(last, ["session_id", "end_idx"]).withColumn("n", F.expr("end_idx - start_idx + 1")).withColumn("mean", F.expr("cast(p1 - p0 as double) / n"))
     out = out.where(F.col("n") * (F.col("mean") / ftp) >= least).withColumn("avg_power", F.expr(geo.half_up("mean"))).withColumn("duration_sec", F.expr("cast(greatest(floor((m1 - m0) / 1e6), n) as int)"))
-    out = out.withColumn("distance", F.expr("d1 - d0")).withColumn("speed", F.expr("CASE WHEN k1 > k0 THEN cast(v1 - v0 as double) / (k1 - k0) ELSE 0e0 END"))
-    tenth = lambda x: f"cast({geo.half_up(f'{x} * 1e1')} as double) / 1e1"
-    return out.selectExpr("session_id", "start_idx", "end_idx", "duration_sec", "avg_power", f"cast(duration_sec * avg_power / {geo.number(ftp)} as int) AS normalized_sec", "round(distance, 4) AS distance_m", f"{tenth('speed')} AS speed_kmh",
-                          f"CASE WHEN avg_power > 0 THEN {tenth(f'(speed / avg_power * {geo.number(ftp)})')} ELSE 0e0 END AS normalized_kmh", f"{geo.compass('distance', geo.bearing('start_lat', 'start_lon', 'end_lat', 'end_lon'))} AS direction")
+    # Quotients of decimals too: that of a double sum may fall beside half a tenth where the mean lies on it.
+    out = out.withColumn("distance", F.expr("d1 - d0")).withColumn("total", F.expr("cast(v1 - v0 as decimal(30, 14))")).withColumn("parts", F.expr("cast(k1 - k0 as decimal(10, 0))"))
+    tenth = lambda x, n: f"CASE WHEN {n} > 0 THEN cast(round({x} / {n}, 1) as double) ELSE 0e0 END"
+    return out.selectExpr("session_id", "start_idx", "end_idx", "duration_sec", "avg_power", f"cast(duration_sec * avg_power / {geo.number(ftp)} as int) AS normalized_sec", "round(distance, 4) AS distance_m", f"{tenth('total', 'parts')} AS speed_kmh",
+                          f"{tenth(f'(total * cast({geo.number(ftp)} as decimal(7, 3)))', '(parts * cast(avg_power as decimal(10, 0)))')} AS normalized_kmh", f"{geo.compass('distance', geo.bearing('start_lat', 'start_lon', 'end_lat', 'end_lon'))} AS direction")
 
 
 def interval_tracks(points: DataFrame, found: DataFrame) -> DataFrame:
