@@ -58,9 +58,9 @@ register("estimated_seconds", lambda s: h.estimated_seconds(h.power_duration_mod
 register("recent_sessions", lambda s: h.newest(s, 20), S, "SELECT session_id, session_start, distance_km FROM sessions ORDER BY session_start DESC, session_id DESC LIMIT 20")
 register("median_representative", lambda s: h.middle_member(s, "rider_id", "distance_km"), S, "SELECT rider_id AS group_id, session_id, distance_km AS value FROM (SELECT *, row_number() OVER (PARTITION BY rider_id ORDER BY distance_km, session_id) AS r, count(*) OVER (PARTITION BY rider_id) AS n FROM sessions) w WHERE r = n // 2 + 1")
 GROUPS = "SELECT rider_id AS group_id, concat(CASE WHEN rider_id % 2 = 0 THEN 'Loop ' ELSE 'loop ' END, CAST(rider_id % 50 AS STRING)) AS name, avg(distance_km) AS distance, count(*) AS frequency FROM {t} GROUP BY rider_id"
-# The same groups with exact sums, so that groups of equal rides tie in whatever order these are read.
+# The same groups with exact sums and quotients, so that groups of equal rides tie in whatever order these are read, and means on half a digit do not tip.
 EXACT = "try_cast(distance_km as decimal(38, 18))"
-FAIR = GROUPS.replace("avg(distance_km)", f"CASE WHEN count({EXACT}) < count(distance_km) THEN avg(distance_km) WHEN count(distance_km) > 0 THEN cast(sum({EXACT}) as double) / count(distance_km) END")
+FAIR = GROUPS.replace("avg(distance_km)", f"CASE WHEN count({EXACT}) < count(distance_km) THEN avg(distance_km) WHEN count(distance_km) > 0 THEN cast(sum({EXACT}) / cast(count(distance_km) as decimal(19, 0)) as double) END")
 for _o, _sql in (("distance_asc", "distance"), ("distance_desc", "distance DESC"), ("frequency_asc", "frequency"), ("frequency_desc", "frequency DESC"), ("name_asc", "lower(name)"), ("name_desc", "lower(name) DESC")):
     register(f"groups_by_{_o}", lambda s, o=_o: h.sorted_groups(s.sparkSession.sql(FAIR.format(t="{s}"), s=s), o).selectExpr("group_id", "name", "round(distance, 6) as distance", "frequency", "cast(place as bigint) as place"), S,
       f"SELECT group_id, name, round(distance, 6) AS distance, frequency, row_number() OVER (ORDER BY {_sql}, group_id) AS place FROM ({GROUPS.format(t='sessions')}) q")
